@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ def norm_translit(c: Text) -> Column:
 
 
 def pipe_array(c: Text) -> Column:
-    return F.filter(F.transform(F.split(norm_text(c), r"\|"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(norm_text(c), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def norm_pipe(c: Text) -> Column:
@@ -203,8 +204,6 @@ def failure_class(query_tokens: Column, best: Column, exists: Column, rank: Colu
 
 def python_round(c: Column, digits: int) -> Column:
     """Rounds the exact binary value, half to even, as Python does."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def rounded(s: pd.Series) -> pd.Series:
         return s.map(lambda x: round(x, digits), na_action="ignore")
