@@ -14,6 +14,7 @@ verified by their texts. Every step before the verification only drops pairs tha
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -68,19 +69,19 @@ def _terms(texts: list[str], q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return row, pos, h
 
 
-def allowed(length: np.ndarray) -> np.ndarray:
-    """The most edits that a text of this length may be off: 15 % of the longer length, which is at most length / 0.85."""
-    return (length * 100 // (100 - PERCENT)) * PERCENT // 100
+@lru_cache(maxsize=100_000)
+def _least(length: int, q: int) -> int:
+    return max(1, min(m - q + 1 - q * (m * PERCENT // 100) for m in range(length, length * 100 // (100 - PERCENT) + 1)))
 
 
-def least(length: np.ndarray, q: int) -> np.ndarray:
-    """The least dot product of a text of this length with a text within the bound; at least one."""
-    return np.maximum(length - q + 1 - q * allowed(length), 1)
+def least(lengths: np.ndarray, q: int) -> np.ndarray:
+    """The least dot product of a text of each length with a text within the bound.
 
-
-def needs_all(length: np.ndarray, q: int) -> np.ndarray:
-    """Lengths for which the bound gives no common gram; none for the grams and least lengths used here."""
-    return length - q + 1 - q * allowed(length) < 1
+    The longer text of m characters has m - q + 1 grams and the edits spoil q * 15 % of m of them at most; a text of a
+    given length meets partners that are longer by the bound at most, and with shorter ones it is the longer itself.
+    """
+    found, back = np.unique(lengths, return_inverse=True)
+    return np.array([_least(int(n), q) for n in found], np.int64)[back] if len(found) else np.zeros(0, np.int64)
 
 
 def _sketch(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
