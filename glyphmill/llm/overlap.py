@@ -122,7 +122,7 @@ def term_weights(texts: DataFrame) -> np.ndarray:
 
 
 def inverted_lists(texts: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(term, sid, len, pos, s1, s2) of the terms that a text needs in the lists."""
+    """(term, sid, at, s1, s2) of the terms that a text needs in the lists; at holds its length and the gram's position."""
     held = texts.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,9 +145,9 @@ def inverted_lists(texts: DataFrame, weights: np.ndarray) -> DataFrame:
                 s1, s2 = _sketch(texts_)
                 with np.errstate(over="ignore"):
                     h = h + np.uint64(q)
-                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(sid[row], pa.int64()), pa.array(length[row].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(s1[row]), pa.array(s2[row])], names=["term", "sid", "len", "pos", "s1", "s2"])
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(sid[row], pa.int64()), pa.array((length[row] << 32) | pos), pa.array(s1[row]), pa.array(s2[row])], names=["term", "sid", "at", "s1", "s2"])
 
-    return texts.select("kind", "text", "sid").mapInArrow(run, "term long, sid long, len int, pos int, s1 long, s2 long")
+    return texts.select("kind", "text", "sid").mapInArrow(run, "term long, sid long, at long, s1 long, s2 long")
 
 
 def edit_bound(a: Column, b: Column) -> Column:
@@ -162,9 +162,10 @@ def near_texts(texts: DataFrame) -> DataFrame:
     weights = term_weights(texts)
     lists = [inverted_lists(texts.where(side), weights) for side in ("is_eval", "is_train")]
     a, b = (x.select(*[F.col(c).alias(c if c == "term" else f"{p}_{c}") for c in x.columns]) for x, p in zip(lists, "ab", strict=True))
-    k = edit_bound(F.col("a_len"), F.col("b_len"))
+    length, pos = ({p: f(F.col(f"{p}_at")) for p in "ab"} for f in (lambda at: F.shiftright(at, 32), lambda at: at.bitwiseAND(F.lit(0xFFFFFFFF))))
+    k = edit_bound(length["a"], length["b"])
     changed = F.bit_count(F.col("a_s1").bitwiseXOR(F.col("b_s1"))) + F.bit_count(F.col("a_s2").bitwiseXOR(F.col("b_s2")))
-    possible = (F.abs(F.col("a_len") - F.col("b_len")) <= k) & (F.abs(F.col("a_pos") - F.col("b_pos")) <= k) & (changed <= 4 * k)
+    possible = (F.abs(length["a"] - length["b"]) <= k) & (F.abs(pos["a"] - pos["b"]) <= k) & (changed <= 4 * k)
     pairs = a.join(b.hint("merge"), (a.term == b.term) & possible).groupBy("a_sid", "b_sid").agg(F.count("*").alias("dot"))
     a_text, b_text = (texts.where(side).select(F.col("sid").alias(f"{p}_sid"), F.col("kind").alias(f"{p}_kind"), F.col("text").alias(f"{p}_text")) for side, p in (("is_eval", "a"), ("is_train", "b")))
     both = pairs.join(a_text, "a_sid").join(b_text, "b_sid").where("a_kind = b_kind")
