@@ -62,7 +62,11 @@ class SpellingTrie:
 
 
 def vocabulary(texts: DataFrame, column: str, size: int = VOCABULARY) -> list[str]:
-    """The `size` most frequent tokens already in consistent form, ties by spelling; the only rows that the driver gets."""
+    """The most frequent tokens already in consistent form, `size` at most, in order of spelling.
+
+    Tokens are cut by frequency band (an eighth of a power of two), and only bands that fit as a whole are taken, so
+    the driver gets a row a band and the vocabulary itself, however many tasks there are.
+    """
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,7 +78,14 @@ def vocabulary(texts: DataFrame, column: str, size: int = VOCABULARY) -> list[st
             yield pa.record_batch([pa.array(kept, pa.string()), pa.array([seen[t] for t in kept], pa.int64())], names=["token", "n"])
 
     counted = texts.select(F.col(column).cast("string")).mapInArrow(clean, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    return [r.token for r in counted.orderBy(F.desc("n"), "token").limit(size).collect()]
+    banded = counted.withColumn("band", F.floor(F.log2("n") * 8).cast("int")).persist()
+    least, left = None, size
+    for r in sorted(banded.groupBy("band").count().collect(), key=lambda r: -r.band):  # at most 512 bands
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r.band
+    return [] if least is None else sorted(r.token for r in banded.where(F.col("band") >= least).select("token").collect())
 
 
 def canonical_text(text: str | None, trie: SpellingTrie, known: dict[str, str]) -> str | None:

@@ -41,5 +41,5 @@ def test_same_looking(spark):
     assert {(r.example_id, r.annotation_id) for r in same_looking(a, e).collect()} == want
     assert {(r.example_id, r.annotation_id) for r in same_looking(a, e, 0).collect()} == want
     assert same_looking(a.limit(0), e).count() == 0
-    assert vocabulary(e, "transliteration_gold", 2) == ["sḏm", "ḥr"]
+    assert vocabulary(e, "transliteration_gold", 2) == [] and vocabulary(e, "transliteration_gold", 3) == ["sḏm", "ḥr", "ꞽw"]
     assert {r.typed_form for r in canonical_columns(a.select(a.transliteration.alias("typed")), ["typed"], []).collect()} >= {None, "ꞽw ḥr"}
