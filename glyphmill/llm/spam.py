@@ -33,9 +33,15 @@ _TAG = re.compile(r"<[^<>]{0,500}>")
 _HASH = re.compile(r"#[^\W_]\w*")
 _CODE = re.compile(r"\b[A-Z]{2,5}-\d{3,}\b|\b\d+[.,]\d\d\b")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+")
+_SENTENCE_END = re.compile(r"[.!?:;]")
 _PLAIN = re.compile(r"[a-zäöüßàâçéèêëîïôûùüÿœæ'’]+\Z")
 SEPARATORS = "|,;•·*>:/#-–"
 CHUNK_WORDS = 30
+#: Pages of fewer words repeat a word or pair if they have it twice, longer ones if three times; their keyword chunks
+#: must be plain words but for this share.
+SHORT_PAGE, SHORT_PLAIN_SHARE = 150, 0.85
+#: A function word between two pairs that make up this share of a page, in a chunk without a sentence end, belongs to a keyword.
+HEAVY_PAIR = 0.03
 # Thresholds: of chunks, as shares.
 LINK_SHARE, TAG_SHARE, CODE_SHARE, PLAIN_SHARE, REPEATED_SHARE, SPAM_SHARE = 0.5, 0.4, 0.12, 0.6, 0.6, 0.5
 #: A chunk lacks function words below this part of the median share of its language's pages; below the second part
@@ -73,7 +79,7 @@ def _link_share(chunk: str, flat: str) -> float:
 
 def page_measures(text: str | None, given: str | None = None) -> tuple[str, dict, list[tuple]]:
     """(language, measures of the page, chunks); a chunk is (characters, link share, tag share, code share,
-    separators a word (where function words lack), function-word share, plain-word share, share of repeated words, share of repeated pairs)."""
+    separators a word (where function words lack), function-word share, plain-word share, share of repeated words, share of repeated pairs, words)."""
     raw = text or ""
     if "&" in raw:
         raw = html.unescape(raw)
@@ -102,12 +108,14 @@ def page_measures(text: str | None, given: str | None = None) -> tuple[str, dict
     count, pairs = Counter(words), Counter(zip(words, words[1:], strict=False))
     lang = language_of(count, given)
     fw, n = _FW[lang], len(words)
-    least = max(3, 0.006 * n)
+    few = 2 if n < SHORT_PAGE else 3
+    least = max(few, 0.006 * n)
     often = {w for w, c in count.items() if c >= least and w not in fw}
     if len(_plain_words) > 500_000:
         _plain_words.clear()
     plain = {w for w in count if _is_plain(w)}
-    thrice = {p for p, c in pairs.items() if c >= 3}
+    again = {p for p, c in pairs.items() if c >= few}
+    heavy = {p for p, c in pairs.items() if c >= max(3, HEAVY_PAIR * n)}
     in_fw = [w in fw for w in words]
     page = {
         "words": n,
@@ -124,12 +132,14 @@ def page_measures(text: str | None, given: str | None = None) -> tuple[str, dict
         own = words[a:b]
         plain_own = [w for w in own if w in plain]
         functions = sum(in_fw[a:b])
+        if heavy and functions and not _SENTENCE_END.search(_URL.sub(" ", flat) if links else flat):
+            functions -= sum(1 for i in range(max(a, 1), min(b, n - 1)) if in_fw[i] and (words[i - 1], words[i]) in heavy and (words[i], words[i + 1]) in heavy)
         content = sum(1 for w in plain_own if w not in fw)
         tokens = flat.count(" ") + 1
         chunks.append((
             len(flat.strip()), _link_share(c, flat) if links or "\x02" in c else 0.0, len(_HASH.findall(flat)) / tokens if "#" in flat else 0.0, len(_CODE.findall(flat)) / tokens if codes else 0.0,
             sum(map(flat.count, SEPARATORS)) / k if functions < LACKING * k else 0.0,
-            functions / k, len(plain_own) / k, sum(1 for w in plain_own if w in often) / max(content, 1), sum(1 for p in zip(own, own[1:], strict=False) if p in thrice) / max(k - 1, 1),
+            functions / k, len(plain_own) / k, sum(1 for w in plain_own if w in often) / max(content, 1), sum(1 for p in zip(own, own[1:], strict=False) if p in again) / max(k - 1, 1), float(b - a),
         ))
     return lang, page, chunks
 
@@ -137,20 +147,21 @@ def page_measures(text: str | None, given: str | None = None) -> tuple[str, dict
 def spam_shares(chunks: list[tuple], usual: float) -> tuple[float, float, float]:
     """Shares of the page's text in link chunks, tag chunks and keyword chunks; usual: the language's function-word share."""
     total = sum(c[0] for c in chunks) or 1
+    least_plain = SHORT_PLAIN_SHARE if sum(c[9] for c in chunks) < SHORT_PAGE else PLAIN_SHARE
     links = tags = words = 0
-    for size, link, tag, code, separators, fw, plain, repeated, pair in chunks:
+    for size, link, tag, code, separators, fw, plain, repeated, pair, _ in chunks:
         if link >= LINK_SHARE:
             links += size
         elif tag >= TAG_SHARE or (code >= CODE_SHARE and fw < LACKING * 1.5 * usual):
             tags += size
-        elif plain >= PLAIN_SHARE and fw < LACKING_PAIRS * usual:
+        elif plain >= least_plain and fw < LACKING_PAIRS * usual:
             lacking = fw < LACKING * usual
             listed = lacking and separators >= SEPARATED and min(repeated, pair) >= LISTED_SHARE
             words += size * (listed or (max if lacking else min)(repeated, pair) >= REPEATED_SHARE)
     return links / total, tags / total, words / total
 
 
-CHUNK_MEASURES = 9
+CHUNK_MEASURES = 10
 PAGE = "top_word top_pair duplicate_lines separators".split()
 
 
