@@ -6,9 +6,11 @@ edit bound have a dot product of at least `least(n)`, n being the grams of the o
 join, a cosine of `least(n)` / n. Weights order the terms: a term is the heavier the rarer it is in the whole input.
 Only the heaviest terms of a text enter the inverted lists; those left out can add no more than the residual, at most
 `least(n)` - 1, even if each meets the largest weight there is, one. Two texts that reach the threshold thus meet in an
-inverted list. Within a list, pairs whose lengths or gram positions can't be matched by the allowed edits, or whose
-pair-of-characters sketches differ in more bits than the edits can change, are dropped; distinct pairs that remain are
-verified by their texts. Every step before the verification only drops pairs that can't pass it.
+inverted list, namely in an n-th occurrence of a gram of which the edits leave n at least. Edits renumber occurrences,
+so the two needn't lie at like places; but the n-th one left lies, in either text, between the n-th and the last
+occurrence of the gram. Within a list, pairs whose lengths or whose ranges of such places can't be matched by the
+allowed edits, or whose pair-of-characters sketches differ in more bits than the edits can change, are dropped; distinct
+pairs that remain are verified by their texts. Every step before the verification only drops pairs that can't pass it.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ BUCKETS, BLOCK = 1 << 20, 1 << 14
 GRAMS = {"reading": 5, "signs": 3}
 LEAST_LENGTH = {"reading": 30, "signs": 20}
 PERCENT = 15
+PLACE_BITS = 21
+LONGEST = (1 << PLACE_BITS) - 1
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -54,19 +58,24 @@ def _grams(texts: list[str], q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return row, pos, h
 
 
-def _terms(texts: list[str], q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As `_grams`, sorted by row and gram; the n-th occurrence of a gram in a text is a term of its own."""
+def _terms(texts: list[str], q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As `_grams`, sorted by row and gram; the n-th occurrence of a gram in a text is a term of its own.
+
+    The last array has the position of the gram's last occurrence in the text.
+    """
     row, pos, h = _grams(texts, q)
     order = np.lexsort((pos, h, row))
     row, pos, h = row[order], pos[order], h[order]
     fresh = np.ones(len(h), bool)
     fresh[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
     first = np.flatnonzero(fresh)
-    occurrence = np.arange(len(h)) - first[np.cumsum(fresh) - 1] if len(h) else np.zeros(0, np.int64)
+    run = np.cumsum(fresh) - 1
+    occurrence = np.arange(len(h)) - first[run] if len(h) else np.zeros(0, np.int64)
+    last = pos[np.append(first[1:], len(h))[run] - 1] if len(h) else np.zeros(0, np.int64)
     again = occurrence > 0
     with np.errstate(over="ignore"):
         h[again] = _hash(h[again] + occurrence[again].astype(np.uint64) * _MIX[0])
-    return row, pos, h
+    return row, pos, h, last
 
 
 @lru_cache(maxsize=100_000)
@@ -122,7 +131,8 @@ def term_weights(texts: DataFrame) -> np.ndarray:
 
 
 def inverted_lists(texts: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(term, sid, at, s1, s2) of the terms that a text needs in the lists; at holds its length and the gram's position."""
+    """(term, sid, at, s1, s2) of the terms that a text needs in the lists; at holds its length, how far the gram's last
+    occurrence lies behind, and the gram's position; a text of LONGEST characters or more has no places."""
     held = texts.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,17 +145,18 @@ def inverted_lists(texts: DataFrame, weights: np.ndarray) -> DataFrame:
                     continue
                 texts_, sid = [values[k] for k in own], ids[own]
                 length = np.array([len(t) for t in texts_], np.int64)
-                row, pos, h = _terms(texts_, q)
+                row, pos, h, last = _terms(texts_, q)
                 order = np.lexsort((h, common[(h & np.uint64(BUCKETS - 1)).astype(np.int64)], row))
-                row, pos, h = row[order], pos[order], h[order]
+                row, pos, h, last = row[order], pos[order], h[order], last[order]
                 count = length - q + 1
                 rank = np.arange(len(h)) - np.repeat(np.cumsum(count) - count, count)
                 keep = rank < (count - least(length, q) + 1)[row]
-                row, pos, h = row[keep], pos[keep], h[keep]
+                row, pos, h, last = row[keep], pos[keep], h[keep], last[keep]
+                placed = np.where(length[row] < LONGEST, (last - pos) << PLACE_BITS | pos, 0)
                 s1, s2 = _sketch(texts_)
                 with np.errstate(over="ignore"):
                     h = h + np.uint64(q)
-                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(sid[row], pa.int64()), pa.array((length[row] << 32) | pos), pa.array(s1[row]), pa.array(s2[row])], names=["term", "sid", "at", "s1", "s2"])
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(sid[row], pa.int64()), pa.array((np.minimum(length, LONGEST)[row] << 2 * PLACE_BITS) | placed), pa.array(s1[row]), pa.array(s2[row])], names=["term", "sid", "at", "s1", "s2"])
 
     return texts.select("kind", "text", "sid").mapInArrow(run, "term long, sid long, at long, s1 long, s2 long")
 
@@ -162,10 +173,12 @@ def near_texts(texts: DataFrame) -> DataFrame:
     weights = term_weights(texts)
     lists = [inverted_lists(texts.where(side), weights) for side in ("is_eval", "is_train")]
     a, b = (x.select(*[F.col(c).alias(c if c == "term" else f"{p}_{c}") for c in x.columns]) for x, p in zip(lists, "ab", strict=True))
-    length, pos = ({p: f(F.col(f"{p}_at")) for p in "ab"} for f in (lambda at: F.shiftright(at, 32), lambda at: at.bitwiseAND(F.lit(0xFFFFFFFF))))
+    low = F.lit(LONGEST).cast("long")
+    length, pos, span = ({p: f(F.col(f"{p}_at")) for p in "ab"} for f in (lambda at: F.shiftright(at, 2 * PLACE_BITS), lambda at: at.bitwiseAND(low), lambda at: F.shiftright(at, PLACE_BITS).bitwiseAND(low)))
     k = edit_bound(length["a"], length["b"])
     changed = F.bit_count(F.col("a_s1").bitwiseXOR(F.col("b_s1"))) + F.bit_count(F.col("a_s2").bitwiseXOR(F.col("b_s2")))
-    possible = (F.abs(length["a"] - length["b"]) <= k) & (F.abs(pos["a"] - pos["b"]) <= k) & (changed <= 4 * k)
+    placed = (F.greatest(length["a"], length["b"]) >= LONGEST) | ((pos["a"] - k <= pos["b"] + span["b"]) & (pos["b"] - k <= pos["a"] + span["a"]))
+    possible = (F.abs(length["a"] - length["b"]) <= k) & placed & (changed <= 4 * k)
     pairs = a.join(b.hint("merge"), (a.term == b.term) & possible).groupBy("a_sid", "b_sid").agg(F.count("*").alias("dot"))
     a_text, b_text = (texts.where(side).select(F.col("sid").alias(f"{p}_sid"), F.col("kind").alias(f"{p}_kind"), F.col("text").alias(f"{p}_text")) for side, p in (("is_eval", "a"), ("is_train", "b")))
     both = pairs.join(a_text, "a_sid").join(b_text, "b_sid").where("a_kind = b_kind")

@@ -52,6 +52,24 @@ def test_overlaps_equal_all_pairs(spark):
     assert overlap.overlaps(examples.limit(0), competitive.limit(0)).count() == 0
 
 
+def test_overlaps_of_refrains(spark):
+    rng = random.Random(3)
+    signs = [chr(0x13000 + k) for k in range(12)]
+    rows = [(0, "train", "".join(signs[:6]) * 4, "htpdnswprm" * 4), (1, "test", "".join(signs[:2] + [signs[9]] + signs[3:5] + [signs[9]]) + "".join(signs[:6]) * 3, "htpdXswprX" + "htpdnswprm" * 3)]
+    for i in range(2, 90):  # refrains of all periods, spoiled anywhere
+        text, glyphs = "".join(rng.choices("htpdnswrm", k=rng.randrange(2, 14))), "".join(rng.choices(signs, k=rng.randrange(2, 9)))
+        old = rng.choice(rows)
+        text, glyphs = (spoiled(rng, old[3], rng.random() * 0.18, "htpXY"), spoiled(rng, old[2], rng.random() * 0.18, signs)) if i % 3 else (text * (45 // len(text)), glyphs * (30 // len(glyphs)))
+        rows.append((i, rng.choice(["train", "test"]), glyphs, text))
+    examples = spark.createDataFrame([(*r, "s") for r in rows], "id long, split string, hieroglyphs string, transliteration_gold string, source string")
+    want = set()
+    for kind, col, form in (("reading", 3, forms.comparison), ("signs", 2, forms.sign_string)):
+        texts = [(r[0], r[1], t) for r in rows if len(t := form(r[col])) >= overlap.LEAST_LENGTH[kind]]
+        want |= {(str(i), j, kind) for i, a, x in texts if a == "test" for j, b, y in texts if b == "train" if edits(x, y) <= max(len(x), len(y)) * 15 // 100}
+    found = overlap.overlaps(examples, spark.createDataFrame([], "benchmark_id string, expected_transliteration string"))
+    assert {("1", 0, "reading"), ("1", 0, "signs")} <= want and {(r.eval_key, r.train_id, r.kind) for r in found.collect()} == want
+
+
 def test_overlap_bounds():
     import numpy as np
 
