@@ -124,6 +124,33 @@ def test_rivals_equal_all_pairs(spark):
     assert {(r.a, r.b) for r in benchmarks.rival_pairs(df, "t").collect()} == want
 
 
+def test_rival_counts_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    sets = {i: sorted(set(rng.choices("abcdefghijkl", k=rng.randrange(0, 9)))) for i in range(70)}
+    df = spark.createDataFrame(list(sets.items()), "id long, t array<string>")
+    want = {}
+    for a in sets:
+        over = [x for b in sets if a != b and sets[a] and sets[b] and (x := len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]})) >= 0.16]
+        if over:
+            want[a] = (len(over), max(over))
+    for block in (16, 1000):
+        assert {r.id: (r.rivals, r.best) for r in benchmarks.rival_counts(df, "t", block=block).collect()} == want
+    assert benchmarks.rival_counts(df.limit(0), "t").count() == 0
+
+
+def test_competitive_benchmark_reads_every_row(spark, tmp_path):
+    from glyphmill.plans.queries import QUERIES
+    from glyphmill.sources.corpus import BASE_COLUMNS
+
+    rows = [(i, f"T{i}", f"S{i}", f"lone{i} word{i}") for i in range(2000)] + [(2000 + i, f"T{i}", f"U{i}", f"nfr hr pr{i}") for i in range(5)]
+    df = spark.createDataFrame(rows, "id long, source_text_id string, source_sentence_id string, transliteration_gold string")
+    df.withColumns({c: F.lit("") for c in BASE_COLUMNS if c not in df.columns}).write.parquet(f"{tmp_path}/examples.parquet")
+    got = QUERIES["competitive_benchmark"](spark, str(tmp_path)).collect()
+    assert {(r.expected_source_sentence_id, r.rivals, r.best) for r in got} == {(f"U{i}", 4, 0.5) for i in range(5)}
+
+
 def test_review_sheet(spark):
     rows = [("A", "sw", "nswt", 10, "sw:0.50 | nswt:0.40", "s1"), ("A", "sw", "nswt", 12, "sw:0.50 | nswt:0.40", "s2"), ("B", "n.t", "n(.ꞽ).t", 50, "n.t:0.5 | n(.ꞽ).t:0.5", "s3"), ("C", "x", "y", 4, "x:0.25 | y:0.75", "s4")]
     df = spark.createDataFrame(rows, "sign string, gold_reading string, context_prediction string, attested_count int, candidates string, sentence string")
