@@ -163,6 +163,28 @@ def test_metrics(spark):
     assert (r.queries, r.top1, r.topk, r.failures) == (4, 0.25, 0.5, 2) and r.mrr == pytest.approx((1 + 0.5 + 0.2) / 4)
 
 
+def competitive_case(spark):
+    from glyphmill.sources.corpus import conform, derive
+
+    rows = [(1, "T1", "S1", "nfr hr", "b a", "1|x"), (2, "T2", "S2", "nfr hr pr", "x y", "2|y"), (3, "T3", "S3", "pr hr sw", "nfr hr", "3|z 4|w"), (4, "T4", "S4", "dj nswt", "", "5|v")]
+    corpus = derive(conform(spark.createDataFrame([(i, t, s, x, x, o, m) for i, t, s, x, o, m in rows], "id long, source_text_id string, source_sentence_id string, mdc string, transliteration_gold string, normalized_reading_order string, lemma_sequence string"))).persist()
+    bench = [(f"B{k}", "nfr hr", kind, "nfr hr", "T1", "S1", "nfr hr", "1", "0.26") for k, kind in enumerate(("normalized_reading_order", "simplified_transliteration"))]
+    return corpus, spark.createDataFrame(bench, "benchmark_id string, query_input string, query_type string, expected_transliteration string, expected_source_text_id string, expected_source_sentence_id string, expected_key_tokens string, expected_lemma_ids string, acceptable_token_overlap_threshold string")
+
+
+def test_reading_order_queries_search_by_their_order(spark):
+    from glyphmill.operators.retrieval import retrieve
+
+    corpus, bench = competitive_case(spark)
+    queries = evaluate.competitive_queries(bench)
+    assert {r.query_id: r.query_reading_order for r in queries.collect()} == {"B0": "nfr hr", "B1": ""}
+    assert {(r.query_id, r.id): r.reading_order_overlap for r in retrieve(corpus, queries, 4).collect() if r.id == 3} == {("B0", 3): 1.0, ("B1", 3): 0.0}
+    blank = bench.withColumn("acceptable_token_overlap_threshold", F.when(F.col("benchmark_id") == "B0", "").otherwise("0.26"))
+    assert {r.benchmark_id: r.useful_family_rank for r in evaluate.evaluate_competitive(corpus, blank).collect()} == {"B0": None, "B1": 1}
+    shown = evaluate.suggestions_for(corpus, queries, 4).collect()
+    assert {r.query_id for r in shown if "same normalized reading order" in r.evidence_summary} == {"B0"}
+
+
 def test_stream(spark, tmp_path):
     from glyphmill.streaming.annotations import annotation_stream, keep_latest, window_counts
 
