@@ -107,11 +107,10 @@ def competitive_eval(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def weight_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """How far the blends of a grid agree with the logged runs' best example, on a pool of 50 rows a query."""
-    pool = retrieval.retrieve(examples(spark, d), run_queries(spark, d), 50).persist()
+    """How far the blends of a grid agree with the logged runs' best example, by its rank among all rows."""
     best = table(spark, d, "retrieval_runs").select(F.col("id").alias("query_id"), F.substring_index("top_example_ids", ",", 1).try_cast("long").alias("expected"))
-    ranked = evaluate.reblend(pool, evaluate.weight_grid())
-    ranks = ranked.join(best, "query_id").groupBy("config", "query_id").agg(F.min(F.when(F.col("id") == F.col("expected"), F.col("rank"))).alias("rank")).withColumn("split", F.when(F.col("query_id") % 100 == 0, "tune").otherwise("holdout"))
+    ranks = retrieval.expected_ranks(examples(spark, d), run_queries(spark, d).join(best, "query_id"), evaluate.weight_grid())
+    ranks = ranks.withColumn("split", F.when(F.col("query_id") % 100 == 0, "tune").otherwise("holdout"))
     return evaluate.leaderboard(ranks)
 
 
