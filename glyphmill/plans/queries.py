@@ -97,12 +97,22 @@ def retrieval_log(spark: SparkSession, d: str) -> DataFrame:
     return C.run_log(retrieval.retrieve(examples(spark, d), queries, 5), queries)
 
 
+def benchmark_queries(rows: DataFrame) -> DataFrame:
+    """The stated query set of the benchmark: every record whose number is divisible by 50."""
+    rows = C.conform(rows.withColumn("acceptable_token_overlap_threshold", F.col("acceptable_token_overlap_threshold").cast("string")), C.COMPETITIVE_COLUMNS)
+    return rows.select(*C.COMPETITIVE_COLUMNS).where(F.regexp_extract("benchmark_id", r"(\d+)$", 1).try_cast("long") % 50 == 0)
+
+
 @query()
 def competitive_eval(spark: SparkSession, d: str) -> DataFrame:
-    """The stated query set of the benchmark: every record whose number is divisible by 50."""
-    rows = C.conform(table(spark, d, "competitive_ambiguity_eval_results").withColumn("acceptable_token_overlap_threshold", F.col("acceptable_token_overlap_threshold").cast("string")), C.COMPETITIVE_COLUMNS)
-    bench = rows.select(*C.COMPETITIVE_COLUMNS).where(F.regexp_extract("benchmark_id", r"(\d+)$", 1).try_cast("long") % 50 == 0)
-    return evaluate.evaluate_competitive(examples(spark, d), bench)
+    return evaluate.evaluate_competitive(examples(spark, d), benchmark_queries(table(spark, d, "competitive_ambiguity_eval_results")))
+
+
+@query()
+def failure_analysis(spark: SparkSession, d: str) -> DataFrame:
+    """The failed ones of the stated query set against every row; `failure_classes` reads the logged ranks alone."""
+    failed = table(spark, d, "competitive_ambiguity_eval_results").where(~F.coalesce("top3_useful_family_hit", F.lit(False)))
+    return evaluate.failure_analysis(examples(spark, d), benchmark_queries(failed))
 
 
 @query()

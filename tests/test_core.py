@@ -185,6 +185,15 @@ def test_reading_order_queries_search_by_their_order(spark):
     assert {r.query_id for r in shown if "same normalized reading order" in r.evidence_summary} == {"B0"}
 
 
+def test_failures_are_held_against_every_row(spark):
+    corpus, bench = competitive_case(spark)
+    bench = bench.withColumns({"query_input": F.lit("dj nswt pr"), "query_type": F.lit("x"), "expected_key_tokens": F.when(F.col("benchmark_id") == "B0", "nfr hr").otherwise("zz yy"), "expected_lemma_ids": F.lit("77")})
+    got = {r.benchmark_id: r for r in evaluate.failure_analysis(corpus, bench).collect()}
+    rows = [r.id for r in evaluate.retrieve(corpus, evaluate.competitive_queries(bench), 9).where("query_id = 'B0'").orderBy("rank").collect()]
+    assert (got["B0"].useful_parallel_count, got["B0"].first_useful_retrieval_rank, got["B0"].best_available_token_overlap) == (1, rows.index(2) + 1, 2 / 3)  # own row 1 is left out
+    assert (got["B1"].useful_parallel_count, got["B1"].first_useful_retrieval_rank, got["B1"].failure_category) == (0, None, "corpus_gap")
+
+
 def test_stream(spark, tmp_path):
     from glyphmill.streaming.annotations import annotation_stream, keep_latest, window_counts
 
