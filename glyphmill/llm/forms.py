@@ -22,8 +22,8 @@ STAND_INS = {
     "р": "p", "Р": "P", "ρ": "p", "Ρ": "P", "һ": "h", "Һ": "H", "հ": "h",
     "ԁ": "d", "Ԁ": "D", "ԛ": "q", "Ԛ": "Q", "զ": "q", "ɡ": "g", "Ɡ": "G", "ց": "g",
     "і": "i", "І": "I", "ı": "i", "г": "r", "В": "B", "К": "K", "к": "k", "М": "M", "Т": "T", "Н": "H",
-    # signs and marks
-    "⸗": "=", "꞊": "=", "‐": "-", "‑": "-", "−": "-", "̲": "̱", "̠": "̱",
+    # signs and marks; the slanted double hyphen (U+2E17) differs visibly from the equals sign and stays
+    "꞊": "=", "‐": "-", "‑": "-", "−": "-", "̲": "̱", "̠": "̱",
 }
 # Marks that make a yod of an i; code points that show nothing though their category isn't Cf.
 YOD_MARKS = "̓҆͗̉͑"
