@@ -1,10 +1,13 @@
 """Held-out test items in a training corpus, whole or in part, also with other numbers, names or units.
 
-Items become templates: numbers, units and names of the items are replaced by typed placeholders, and each window of
-13 words of a template is hashed. The type of a word of the items depends on the word alone, so equal passages have
-equal templates. Documents are read once: their words get the items' numbers and types, windows without a foreign word
-are hashed and looked up among the items' windows. For each window found, equal words mean a leak; else the slots must
-map one to one from the item's values to the document's to count as re-parameterised.
+Words become templates in two ways. In a plain template numbers and units are typed placeholders; the type depends on
+the word alone, so equal passages have equal plain templates however they are written. In a name template words with a
+capital are placeholders too. Each window of 13 words of a template is hashed. Documents are read once a block of items:
+windows without a foreign word are hashed and looked up among the items' windows. For each window found, equal words
+mean a leak; else the words that are no slots must be equal, and the slots must map one to one from the item's values to
+the document's to count as re-parameterised. Slots are the item's numbers, units and names; which capitals are names is
+told from all items: a name never stands in small letters, nor, in German, which writes nouns with capitals, behind a
+determiner. What comes out for an item and a document depends on nothing else.
 """
 
 from __future__ import annotations
@@ -20,10 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 13
-#: Words of all items up to which their templates are sent to every task (about 100 bytes a word); beyond, a shuffle join.
-BROADCAST_WORDS = 500_000
+#: Words of the items that go to every task at a time (about 100 bytes a word); more items are more blocks. Items beyond
+#: PIECE words are cut into pieces that overlap by a window.
+BLOCK_WORDS, PIECE = 500_000, 50_000
 # Units of measure in the languages of the corpus.
 UNITS = {"mm", "cm", "m", "km", "g", "kg", "mg", "t", "l", "ml", "cubit", "cubits", "palm", "palms", "jar", "jars", "krüge", "krügen", "elle", "ellen", "cruche", "cruches", "jarres", "coudée", "coudées", "deben", "hekat", "percent", "prozent", "years", "year", "jahr", "jahre", "jahren", "an", "ans", "année", "années"}
+# German determiners, contracted prepositions among them, behind which a capital marks a noun.
+DETERMINERS = set("der die das dem den des ein eine einen einem einer eines kein keine keinen keinem keiner keines dieser diese dieses diesem diesen jeder jede jedes jedem jeden mein meine meines meinem meinen meiner sein seine seines seinem seinen seiner ihr ihre ihres ihrem ihren ihrer unser unsere unseres unserem unseren am im zum zur vom beim ans ins".split())
 NUMBER, UNIT, NAME, FOREIGN = 1, 2, 3, 0
 _TAG = re.compile(r"<[^<>]{0,500}>")
 _WORD = re.compile(r"[^\W_]+")
@@ -49,52 +55,87 @@ def plain(word: str) -> str:
     return low if low.isascii() else unicodedata.normalize("NFC", low)
 
 
+def typed(word: str, low: str, number: int) -> tuple[int, int, int]:
+    """(the word's number, its place in a plain template, its place in a name template)."""
+    kind = NUMBER if any(c.isdigit() for c in low) else UNIT if low in UNITS else number
+    return number, kind, NAME if kind == number and word[0].isupper() else kind
+
+
+def letter_cases(text: str | None, lang: str | None) -> tuple[set[str], set[str]]:
+    """(words with a capital inside a sentence, words that are no names) of an item."""
+    capital, other, before, two = set(), set(), "", ("", "")
+    clean = unicodedata.normalize("NFC", _NOTHING.sub("", html.unescape(_TAG.sub(" ", text or ""))))
+    for m in _WORD.finditer(clean):
+        word, low = m[0], plain(m[0])
+        if word[0].islower():
+            other.add(low)
+        elif word[0].isupper() and before and before not in ".!?\n":
+            capital.add(low)
+            if (lang or "").strip().lower()[:2] == "de" and (two[1] in DETERMINERS or (two[0] in DETERMINERS and two[1].islower())):
+                other.add(low)
+        before, two = clean[m.end() : m.end() + 1], (two[1], word)
+    return capital, other
+
+
+def item_names(items: DataFrame) -> DataFrame:
+    """(word): the names of all items, a row a word; partial sets are made a task at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            capital, other = set(), set()
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                c, o = letter_cases(text, lang)
+                capital |= c
+                other |= o
+            words = sorted(capital | other)
+            yield pa.record_batch([pa.array(words, pa.string()), pa.array([w in other for w in words], pa.bool_())], names=["word", "other"])
+
+    seen = items.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(run, "word string, other boolean")
+    return seen.groupBy("word").agg(F.max("other").alias("other")).where("not other").select("word")
+
+
+def item_pieces(items: DataFrame, piece: int = PIECE) -> DataFrame:
+    """(item_id, words) of the items in pieces of `piece` words and a window's overlap; no window is lost or twice there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = words_of(text)
+                cuts = [words[k : k + piece + WINDOW - 1] for k in range(0, len(words) - WINDOW + 1, piece)]
+                if cuts:
+                    yield pa.record_batch([pa.array([i] * len(cuts), pa.int64()), pa.array(cuts, pa.list_(pa.string()))], names=["item_id", "words"])
+
+    return items.where("item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "item_id long, words array<string>")
+
+
 class Templates:
-    """All items: their words by number, the words' types, the hashes of their template windows in order."""
+    """A block of items: their words by number, and the hashes of their windows in both kinds of template, in order."""
 
-    def __init__(self, items: list[tuple[int, str, str]]) -> None:
+    def __init__(self, pieces: list[tuple[int, list[str]]], names: set[str]) -> None:
         self.number: dict[str, int] = {}
-        capital, small = set(), set()
         codes, owner = [], []
-        for item, lang, text in items:
-            before = ""
-            for m in _WORD.finditer(unicodedata.normalize("NFC", _NOTHING.sub("", html.unescape(_TAG.sub(" ", text or ""))))):
-                word = m[0]
+        for item, words in pieces:
+            for word in words:
                 low = plain(word)
-                inner = before[-2:-1] not in ".!?\n" if before else False
-                if word[0].isupper() and inner and lang != "de":  # German writes every noun with a capital
-                    capital.add(low)
-                elif word[0].islower():
-                    small.add(low)
-                before = m.string[: m.end() + 2]
-                codes.append(self.number.setdefault(low, len(self.number) + 4))
+                codes.append(typed(word, low, self.number.setdefault(low, len(self.number) + 4)))
                 owner.append(item)
-            codes.append(FOREIGN)
+            codes.append((FOREIGN,) * 3)
             owner.append(item)
-        self.kind = np.arange(len(self.number) + 4)
-        for word, n in self.number.items():
-            if any(c.isdigit() for c in word):
-                self.kind[n] = NUMBER
-            elif word in UNITS:
-                self.kind[n] = UNIT
-            elif word in capital and word not in small:
-                self.kind[n] = NAME
-        self.codes, self.owner = np.array(codes, np.int64), np.array(owner, np.int64)
-        at, hashes = window_hashes(self.kind[self.codes] if codes else self.codes)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.at = hashes[order], at[order]
+        self.codes, self.owner = np.array(codes, np.int64).reshape(-1, 3), np.array(owner, np.int64)
         self.words = {n: w for w, n in self.number.items()}
-
-    def code(self, word: str) -> int:
-        """Number of a word as a document has it; for words foreign to the items their type, if it can be told."""
+        named = np.zeros(len(self.number) + 4, bool)
+        named[[n for w, n in self.number.items() if w in names]] = True
+        self.slot = (self.codes[:, 1] <= UNIT) | named[self.codes[:, 0]]
+        self.windows = []
+        for kind in (1, 2):
+            at, hashes = window_hashes(self.codes[:, kind])
+            order = np.argsort(hashes, kind="stable")
+            self.windows.append((hashes[order], at[order]))
+
+    def code(self, word: str) -> tuple[int, int, int]:
+        """As `typed`, for a word as a document has it."""
         low = plain(word)
-        if (n := self.number.get(low)) is not None:
-            return n
-        if any(c.isdigit() for c in low):
-            return NUMBER
-        if low in UNITS:
-            return UNIT
-        return NAME if word[0].isupper() else FOREIGN
+        return typed(word, low, self.number.get(low, FOREIGN))
 
 
 def window_hashes(kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,78 +166,73 @@ def template_hits(docs: DataFrame, templates: Templates) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = held.value
-        known: dict[str, int] = {}
+        known, made = {"": 0}, [(FOREIGN,) * 3]  # words met by number, and what they are
         span = np.arange(WINDOW)
         for batch in batches:
-            ids, codes, texts, starts = batch.column(0).to_pylist(), [], [], []
+            if len(known) > 500_000:
+                known, made = {"": 0}, made[:1]
+            ids, numbers, texts, starts = batch.column(0).to_pylist(), [], [], []
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
-                if len(known) > 500_000:
-                    known.clear()
-                starts.append(len(codes))
+                starts.append(len(numbers))
                 for w in words:
                     if (c := known.get(w)) is None:
-                        known[w] = c = t.code(w)
-                    codes.append(c)
-                codes.append(FOREIGN)
+                        known[w] = c = len(made)
+                        made.append(t.code(w))
+                    numbers.append(c)
+                numbers.append(0)
                 texts.append(words)
-            code, start = np.array(codes, np.int64), np.array(starts, np.int64)
-            at, h = window_hashes(t.kind[code])
-            low, high = np.searchsorted(t.hashes, h, "left"), np.searchsorted(t.hashes, h, "right")
-            some = np.flatnonzero(high > low)
-            count = (high - low)[some]
-            d = np.repeat(at[some], count)
-            e = t.at[np.repeat(low[some], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+            code, start = np.array(made, np.int64)[np.array(numbers, np.int64)], np.array(starts, np.int64)
             found: dict[tuple[int, int], list[int]] = {}
-            for a in range(0, len(d), 100_000):
-                dc, ec = code[d[a : a + 100_000, None] + span], t.codes[e[a : a + 100_000, None] + span]
-                doc = np.searchsorted(start, d[a : a + 100_000], "right") - 1
-                item = t.owner[e[a : a + 100_000]]
-                same_template = (t.kind[dc] == t.kind[ec]).all(1)
-                exact = ((dc == ec) & (dc > NAME)).all(1)
-                for k in np.flatnonzero(exact):
-                    found.setdefault((int(item[k]), int(doc[k])), [0, 0])[0] += 1
-                for k in np.flatnonzero(same_template & ~exact):
-                    if (t.kind[ec[k]] > NAME).sum() < WINDOW // 2:
-                        continue
-                    slots = np.flatnonzero(t.kind[ec[k]] <= NAME)
-                    words = texts[doc[k]]
-                    offset = int(d[a + k] - start[doc[k]])
-                    if consistent_slots([t.words[int(ec[k][s])] for s in slots], [plain(words[offset + s]) for s in slots]):
-                        found.setdefault((int(item[k]), int(doc[k])), [0, 0])[1] += 1
+            for kind, (hashes, places) in zip((1, 2), t.windows, strict=True):
+                at, h = window_hashes(code[:, kind])
+                low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+                some = np.flatnonzero(high > low)
+                count = (high - low)[some]
+                ends = np.cumsum(count)
+                total = int(ends[-1]) if len(ends) else 0
+                for a in range(0, total, 100_000):
+                    k = np.arange(a, min(a + 100_000, total))
+                    own = np.searchsorted(ends, k, "right")
+                    d, e = at[some[own]], places[low[some[own]] + k - ends[own] + count[own]]
+                    dc, ec = code[d[:, None] + span], t.codes[e[:, None] + span]
+                    slot = t.slot[e[:, None] + span]
+                    equal = dc[:, :, 0] == ec[:, :, 0]
+                    exact = (equal & (dc[:, :, 0] != FOREIGN)).all(1)
+                    other = (dc[:, :, kind] == ec[:, :, kind]).all(1) & (equal | slot).all(1) & ~exact & (slot.sum(1) <= WINDOW - WINDOW // 2)
+                    if kind == 2:  # what plain templates find isn't counted again
+                        exact[:] = False
+                        other &= (dc[:, :, 1] != ec[:, :, 1]).any(1)
+                    doc, item = np.searchsorted(start, d, "right") - 1, t.owner[e]
+                    for j in np.flatnonzero(exact):
+                        found.setdefault((int(item[j]), int(doc[j])), [0, 0])[0] += 1
+                    for j in np.flatnonzero(other):
+                        words, offset, slots = texts[doc[j]], int(d[j] - start[doc[j]]), np.flatnonzero(slot[j])
+                        if consistent_slots([t.words[int(ec[j, s, 0])] for s in slots], [plain(words[offset + s]) for s in slots]):
+                            found.setdefault((int(item[j]), int(doc[j])), [0, 0])[1] += 1
             yield pa.record_batch([pa.array([i for i, _ in found], pa.int64()), pa.array([ids[k] for _, k in found], pa.int64()), pa.array([v[0] for v in found.values()], pa.int64()), pa.array([v[1] for v in found.values()], pa.int64())], names=["item_id", "doc_id", "exact_windows", "slot_windows"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null").mapInArrow(run, "item_id long, doc_id long, exact_windows long, slot_windows long")
 
 
-def window_rows(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(hash, id, words): every window of a table, numbers as placeholders in the hash; for item sets beyond the bound."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = [plain(w) for w in words_of(text)]
-                made = [words[k : k + WINDOW] for k in range(len(words) - WINDOW + 1)]
-                if made:
-                    keys = ["\x1f".join("0" if any(c.isdigit() for c in w) else w for w in x) for x in made]
-                    yield pa.record_batch([pa.array(keys, pa.string()), pa.array([i] * len(made), pa.int64()), pa.array(["\x1f".join(x) for x in made], pa.string())], names=["template", "id", "words"])
-
-    made = rows.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("text is not null").mapInArrow(run, "template string, id long, words string")
-    return made.select(F.xxhash64("template").alias("hash"), "id", "words").distinct()
-
-
-def leaked_items(docs: DataFrame, items: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def leaked_items(docs: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS, piece: int = PIECE) -> DataFrame:
     """(item_id, doc_id, exact_windows, slot_windows) for documents that share a window with an item.
 
-    Null and empty texts share nothing; items of fewer than 13 words can't be found; a document given twice is found
-    twice. Item sets of more than `broadcast_words` words (by a count of their characters) are hash-joined by a shuffle
-    instead, where only numbers are slots and slot_windows counts windows that differ in numbers.
+    Null and empty texts share nothing; items of fewer than 13 words can't be found; the windows of a document given
+    twice are summed. Items beyond `block_words` words go through the documents in blocks, each a scan of its own, with the same
+    result: windows are counted apart and summed, names are told from all items.
     """
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    if size <= broadcast_words * 4:
-        rows = [(r.item_id, r.lang, r.text) for r in items.where("item_id is not null").select("item_id", "lang", "text").orderBy("item_id").collect()]
-        return template_hits(docs, Templates(rows))
-    e = window_rows(items, "item_id", "text").select("hash", F.col("id").alias("item_id"), F.col("words").alias("item_words"))
-    d = window_rows(docs, "doc_id", "text").select("hash", F.col("id").alias("doc_id"), "words")
-    same = F.col("words") == F.col("item_words")
-    return d.join(e, "hash").groupBy("item_id", "doc_id").agg(F.sum(same.cast("long")).alias("exact_windows"), F.sum((~same).cast("long")).alias("slot_windows"))
+    pieces = item_pieces(items, piece).persist()
+    total = pieces.agg(F.sum(F.size("words"))).first()[0] or 0
+    names = item_names(items)
+    blocks = 1 if total <= block_words else -(-2 * total // block_words)
+    out = None
+    for b in range(blocks):
+        own = pieces.where(F.pmod(F.xxhash64("item_id", F.size("words"), "words"), F.lit(blocks)) == b)
+        rows = [(r.item_id, r.words) for r in own.orderBy("item_id").collect()]
+        spoken = docs.sparkSession.createDataFrame([(w,) for w in sorted({plain(w) for _, words in rows for w in words})], "word string")
+        known = names.join(F.broadcast(spoken), "word", "left_semi").collect()  # words of one block
+        hits = template_hits(docs, Templates(rows, {r.word for r in known}))
+        out = hits if out is None else out.unionAll(hits)
+    pieces.unpersist()
+    return out.groupBy("item_id", "doc_id").agg(F.sum("exact_windows").alias("exact_windows"), F.sum("slot_windows").alias("slot_windows"))

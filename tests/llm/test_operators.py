@@ -194,14 +194,30 @@ def test_leaks(spark):
     part = "before\nthe <b>scribe</b> of the  fields&nbsp;319 jars, of OIL: then he l­eft. More"
     other = item.replace("Numosere", "Seseru").replace("319", "17")
     docs = spark.createDataFrame([(10, "x " + item), (11, part), (12, " ".join(item.split()[:12])), (13, other), (14, None), (15, ""), (10, item), (16, "laid " + item[:40] + " zzz " + item[40:70])], "doc_id long, text string")
-    for bound in (leaks.BROADCAST_WORDS, 0):
-        got = leaks.leaked_items(docs, items, bound).collect()
-        assert {(r.item_id, r.doc_id) for r in got if r.exact_windows} == {(1, 10), (1, 11)}
-    slots = {r.doc_id: r for r in leaks.leaked_items(docs, items).collect()}
-    assert slots[13].exact_windows == 0 and slots[13].slot_windows > 0
+    want = {(1, 10), (1, 11)}
+    rows = None
+    for block, piece in ((leaks.BLOCK_WORDS, leaks.PIECE), (20, 50_000), (leaks.BLOCK_WORDS, 3), (12, 2)):
+        got = leaks.leaked_items(docs, items, block, piece)
+        got = sorted(tuple(r) for r in got.collect())
+        assert {(r[0], r[1]) for r in got if r[2]} == want
+        rows = rows or got
+        assert got == rows
+    slots = {r[1]: r for r in rows}
+    assert slots[13][2] == 0 and slots[13][3] > 0
     assert leaks.leaked_items(docs.limit(0), items).count() == 0 and leaks.leaked_items(docs, items.limit(0)).count() == 0
 
 
+def test_leaks_with_other_names(spark):
+    item = "Möge Retiankh in der zweiten Kolumne stehen, solange man in Hut-Semose noch einen Festkalender unter den Leuten bewahrt."
+    items = spark.createDataFrame([(1, "de", item), (2, "de", "Da fand man den Krug und die Stele am Rand, denn Semose war tot."), (3, None, item.upper())], "item_id long, lang string, text string")
+    assert {r.word for r in leaks.item_names(items.where("item_id < 3")).collect()} == {"retiankh", "hut", "semose"}
+    swapped = lambda a, b: item.replace("Retiankh", a).replace("Semose", b)
+    docs = [(1, swapped("Badjaka", "Fera")), (2, swapped("Stele", "Fera")), (3, swapped("Badjaka", "Fera").replace("Festkalender", "Krug").replace("Kolumne", "Stele")), (4, item.lower()), (5, item.upper()), (6, swapped("badjaka", "fera")), (7, item.replace("Semose", "Retiankh"))]
+    got = {(r.item_id, r.doc_id): r for r in leaks.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert {d for (i, d), r in got.items() if i == 1 and r.exact_windows and not r.slot_windows} == {4, 5}
+    assert {d for (i, d), r in got.items() if i == 1 and r.slot_windows and not r.exact_windows} == {1, 2, 7}
+
+
 def test_spam(spark):
     prose = "The overseer of the harbour says that this stela was found near the base of a wall, and it is unclear whether the scribe meant the cult of the ancestors. "
     heap = "eye amulet gold ring offer mummy toy cheap scarab " * 12
