@@ -69,14 +69,18 @@ def text_edges(examples: DataFrame) -> DataFrame:
     return seen.join(center, "sentence").where("text <> center").select(F.col("center").alias("a"), F.col("text").alias("b"))
 
 
-def related_texts(examples: DataFrame) -> DataFrame:
+def related_texts(examples: DataFrame, block: int = 1000) -> DataFrame:
     """(text_a, text_b), text_a < text_b: different texts that must share a split, through however many others.
 
     A pair for each two texts of a component is what the result is; the texts of a component meet by a join on its root.
+    A component of more than `block` texts is dealt to blocks, each of which meets all its texts in a task of its own.
     """
-    _, roots = spanning_forest(text_edges(examples))
-    a, b = roots.select("root", F.col("node").alias("text_a")), roots.select("root", F.col("node").alias("text_b"))
-    return a.join(b, "root").where("text_a < text_b").select("text_a", "text_b")
+    roots = spanning_forest(text_edges(examples))[1]
+    sizes = roots.groupBy("root").agg(F.count("*").alias("n")).select("root", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    dealt = roots.join(sizes, "root")
+    a = dealt.select("root", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("text_a"))
+    b = dealt.select("root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("text_b"))
+    return a.join(b, ["root", "block"]).where("text_a < text_b").select("text_a", "text_b")
 
 
 def assign_splits(examples: DataFrame, plan: DataFrame, key: str = "id", whole: int = 256, buckets: int = 1024) -> DataFrame:
