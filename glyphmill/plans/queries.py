@@ -9,7 +9,7 @@ from glyphmill.functions import text as X
 from glyphmill.operators import benchmarks, evaluate, explore, reading_model, retrieval, review, signs
 from glyphmill.operators.packed import explode_packed
 from glyphmill.plans import sql as S
-from glyphmill.runtime import table
+from glyphmill.runtime import spread, table
 from glyphmill.sources import corpus as C
 
 PACKED = [("examples", "lemma_sequence", "id", True), ("examples", "offering_items", "id", False), ("annotations", "alt_transliterations", "id", False), ("competitive_ambiguity_eval_results", "suggestions", "benchmark_id", False)]
@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 
 
 def examples(spark: SparkSession, d: str) -> DataFrame:
-    return C.derive(C.conform(table(spark, d, "examples")))
+    return C.derive(C.conform(spread(table(spark, d, "examples"))))
 
 
 def run_queries(spark: SparkSession, d: str) -> DataFrame:
