@@ -65,12 +65,16 @@ def nearest_groups(model: ReadingModel, unseen: DataFrame) -> DataFrame:
     """(sign, group, similarity): for sign groups never attested the attested one with the largest glyph overlap.
 
     Ties go to the better attested group, then to the smaller one. Groups that share no glyph with any get no row. Only
-    groups that share a glyph meet; overlap counts come from a partial aggregate.
+    groups that share a glyph meet; overlap counts come from a partial aggregate. The inputs are small but many groups
+    share a glyph, so the work is dealt to all cores by glyph and salt, which also splits a hot glyph.
     """
+    parts, salts = unseen.sparkSession.sparkContext.defaultParallelism, 8
     glyphs = lambda df, name: df.select(F.col("sign").alias(name), F.explode(F.array_distinct(F.filter(F.split("sign", ""), lambda x: x != ""))).alias("glyph"))
     size = lambda c: F.size(F.array_distinct(F.filter(F.split(c, ""), lambda x: x != "")))
     totals = model.emission.groupBy("sign").agg(F.sum("n").alias("total"))
-    shared = glyphs(unseen.select("sign").distinct(), "sign").join(glyphs(totals, "group"), "glyph").groupBy("sign", "group").agg(F.count("*").alias("common"))
+    left = glyphs(unseen.select("sign").distinct(), "sign").withColumn("_salt", F.pmod(F.xxhash64("sign"), F.lit(salts))).repartition(parts * 2, "glyph", "_salt")
+    right = glyphs(totals, "group").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).repartition(parts * 2, "glyph", "_salt")
+    shared = left.join(right, ["glyph", "_salt"]).groupBy("sign", "group").agg(F.count("*").alias("common"))
     scored = shared.withColumn("similarity", F.col("common") / (size("sign") + size("group") - F.col("common"))).join(totals.withColumnRenamed("sign", "group"), "group")
     best = scored.groupBy("sign").agg(F.min(F.struct((-F.col("similarity")).alias("s"), (-F.col("total")).alias("t"), "group")).alias("b"))
     return best.select("sign", F.col("b.group").alias("group"), (-F.col("b.s")).alias("similarity"))
