@@ -108,6 +108,43 @@ def competitive_eval(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.evaluate_competitive(examples(spark, d), benchmark_queries(table(spark, d, "competitive_ambiguity_eval_results")))
 
 
+def stated_targets(rows: DataFrame) -> DataFrame:
+    """The stated query set of the evaluations that search with rows: every row whose id is divisible by 50."""
+    return rows.where("id % 50 = 0")
+
+
+@query()
+def retrieval_eval(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of the stated set is looked for by its own text and reading order."""
+    rows = examples(spark, d)
+    benchmark = stated_targets(rows).select(F.format_string("BM_%d", "id").alias("benchmark_id"), F.col("mdc").alias("query_mdc"), F.col("normalized_reading_order").alias("query_normalized_reading_order"), *[F.col(k).alias(f"expected_{k}") for k in C.KEYS])
+    return evaluate.evaluate_retrieval(rows, benchmark)
+
+
+@query()
+def suggestion_eval(spark: SparkSession, d: str) -> DataFrame:
+    rows = examples(spark, d)
+    return evaluate.evaluate_suggestions(rows, stated_targets(rows))
+
+
+@query()
+def ambiguous_eval(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.evaluate_ambiguous(examples(spark, d), benchmark_queries(table(spark, d, "competitive_ambiguity_eval_results")))
+
+
+@query()
+def sign_reading_eval(spark: SparkSession, d: str) -> DataFrame:
+    rows = examples(spark, d)
+    return evaluate.evaluate_signs(rows, stated_targets(evaluate.sign_targets(rows, exclude_duplicates=True)))
+
+
+@query()
+def suggestion_weight_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Hit rates of the stated benchmark queries under the 25 suggestion weights."""
+    ranks = evaluate.suggestion_sweep(examples(spark, d), benchmark_queries(table(spark, d, "competitive_ambiguity_eval_results")), evaluate.suggestion_grid())
+    return evaluate.leaderboard(ranks.withColumn("split", F.when(F.regexp_extract("query_id", r"(\d+)$", 1).cast("long") % 100 == 0, "tune").otherwise("holdout")))
+
+
 @query()
 def failure_analysis(spark: SparkSession, d: str) -> DataFrame:
     """The failed ones of the stated query set against every row; `failure_classes` reads the logged ranks alone."""
@@ -198,6 +235,12 @@ def reading_model_eval(spark: SparkSession, d: str) -> DataFrame:
     return reading_model.evaluate(examples(spark, d))
 
 
+@query()
+def reading_model_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """The reading model by corpus size; the sizes are the feature."""
+    return reading_model.size_sweep(examples(spark, d), [500, 2000, None])
+
+
 _METRICS = "count(*) AS queries, avg(CASE WHEN useful_family_rank <= 1 THEN 1.0 ELSE 0.0 END)::DOUBLE AS top1, avg(CASE WHEN useful_family_rank <= 3 THEN 1.0 ELSE 0.0 END)::DOUBLE AS topk, round(avg(coalesce(1.0::DOUBLE / useful_family_rank, 0)), 9) AS mrr, count(*) FILTER (useful_family_rank IS NULL OR useful_family_rank > 3) AS failures"
 
 

@@ -208,3 +208,32 @@ def test_core_stands_alone():
     code = "import sys; sys.modules['glyphmill.llm'] = None\nimport __spark_entry__ as e\nprint(len(e.queries()), set(e.oracle_sql()) <= set(e.queries()), 'p1_found' in e.queries())"
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
     assert int(out[0]) > 30 and out[1:] == ["True", "False"]
+
+
+def test_suggestion_evaluations(spark):
+    corpus, bench = competitive_case(spark)
+    rows = corpus.where("id in (1, 2)")
+    left_out, kept = ({r.id: r for r in evaluate.evaluate_suggestions(corpus, rows, include_self=s).collect()} for s in (False, True))
+    assert left_out[1].rank_of_gold is None and not left_out[1].top3_hit and kept[1].rank_of_gold == 1 and kept[1].top1_hit
+    assert "nfr hr" not in left_out[1].suggestion_canonicals.split(" || ") and kept[1].suggestion_canonicals.split(" || ")[0] == "nfr hr"
+    assert {r.evaluation_mode for r in left_out.values()} == {"leave_one_out"} and left_out[1].confidence_scores.count(" || ") == left_out[1].suggestions.count(" || ") == 2
+    twin = corpus.unionByName(corpus.where("id = 1").withColumns({"id": F.lit(9).cast("long"), "source": F.lit("other")}))
+    assert evaluate.evaluate_suggestions(twin, rows.where("id = 1")).first().rank_of_gold == 1  # another source is another row
+    shown = {r.benchmark_id: r for r in evaluate.evaluate_ambiguous(corpus, bench.withColumn("notes", F.lit("n"))).collect()}
+    assert shown["B1"].rank_of_expected == 1 and shown["B1"].notes == "n"
+    assert evaluate.evaluate_suggestions(corpus, rows.limit(0)).count() == 0
+    ranks = {(r.config, r.query_id): r["rank"] for r in evaluate.suggestion_sweep(corpus, bench, evaluate.suggestion_grid()).collect()}
+    plain = {r.benchmark_id: r.useful_family_rank for r in evaluate.evaluate_competitive(corpus, bench).collect()}
+    assert len(ranks) == 50 and {q: ranks["suggestion base", q] for q in plain} == plain
+
+
+def test_sign_evaluation(spark):
+    from glyphmill.sources.corpus import conform, derive
+
+    rows = [(1, "T1", "S1", "𓀀 𓀁 𓀂", "a b c", "1|a 2|b"), (2, "T2", "S2", "𓀀 𓀁 𓀃", "a b d", "7|a 8|b"), (3, "T3", "S3", "𓀄 𓀅", "x y", "1|a 2|b"), (4, "T4", "S4", "𓀄 𓀅", "x z", ""), (5, "T5", "S5", None, "q", "")]
+    corpus = derive(conform(spark.createDataFrame(rows, "id long, source_text_id string, source_sentence_id string, hieroglyphs string, transliteration_gold string, lemma_sequence string")))
+    assert {r.id for r in evaluate.sign_targets(corpus).collect()} == {1, 2, 3, 4} and {r.id for r in evaluate.sign_targets(corpus, True).collect()} == {1, 2}
+    assert {r.id for r in evaluate.sign_targets(corpus, min_signs=3).collect()} == {1, 2}
+    got = {r.id: r for r in evaluate.evaluate_signs(corpus, evaluate.sign_targets(corpus)).collect()}
+    assert got[1].useful_rank == 1 and got[1].exact_rank is None and got[1].sign_group_count == 3 and got[1].suggestions.startswith("a b d")
+    assert got[3].suggestions.startswith("x z") and got[3].useful_rank == 1
