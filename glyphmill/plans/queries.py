@@ -79,6 +79,13 @@ def idf_overlap_top10(spark: SparkSession, d: str) -> DataFrame:
     return scored.withColumn("rn", rank).where("rn <= 10").drop("rn")
 
 
+@query(S.ranking("SELECT id AS query_id, query_mdc, query_reading_order FROM retrieval_runs WHERE id % 50 = 0", retrieval.ScoreWeights().signals(), 10))
+def retrieval_signals(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best rows of each query with all signals, to nine digits; ties by id."""
+    found = retrieval.retrieve(examples(spark, d), run_queries(spark, d), 10)
+    return found.select("query_id", "rank", "id", *[F.round(c, 9).alias(c) for c in [*retrieval.SIGNALS, "final_score"]])
+
+
 @query()
 def retrieve_top3(spark: SparkSession, d: str) -> DataFrame:
     corpus = examples(spark, d)
@@ -354,7 +361,10 @@ def benchmark_rows(spark: SparkSession, d: str) -> DataFrame:
     return benchmarks.evaluation_rows(table(spark, d, "examples"))
 
 
-@query()
+@query(f"""WITH {S.BASE}, w AS (SELECT *, {S.blank_split(f"regexp_replace({S.loose('transliteration_gold')}, '\\bpl\\b', '', 'g')")} AS words, row_number() OVER (ORDER BY id) AS n FROM base QUALIFY n <= 20),
+d AS (SELECT *, list_transform(words, lambda x: CASE WHEN len(x) > 4 AND right(x, 1) IN ('t', 'w', 'j', 'y') THEN left(x, len(x) - 1) ELSE x END) AS cut, len(words) AS k, trim(normalized_reading_order) AS own FROM w)
+SELECT printf('AMB_%03d', n) AS benchmark_id, CASE n % 3 WHEN 2 THEN array_to_string(CASE WHEN k <= 2 THEN cut[1:1] ELSE cut[1:greatest(2, least(k - 1, round_even(k * 0.65::DOUBLE, 0)::INT))] END, ' ') WHEN 0 THEN CASE WHEN own <> '' THEN own ELSE array_to_string(words, ' ') END ELSE array_to_string(cut, ' ') END AS query_input,
+['simplified_transliteration', 'partial_transliteration', 'normalized_reading_order'][((n - 1) % 3 + 1)::INT] AS query_type, transliteration_gold AS expected_transliteration, source_text_id AS expected_source_text_id, source_sentence_id AS expected_source_sentence_id FROM d""")
 def ambiguous_benchmark(spark: SparkSession, d: str) -> DataFrame:
     return benchmarks.ambiguous_queries(examples(spark, d))
 
