@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.llm import copies, distinctive, leaks, lookalike, overlap, packing, spam, splits, termcount
+from glyphmill.plans import sql as S
 from glyphmill.runtime import table
 
 
@@ -94,4 +95,10 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_overlap_report, p2_found, p2_splits, p3_found, p3_term_counts, p4_found, p4_consistent, p5_found, p5_collapsed, p6_found, p6_scores, p8_packs, p8_fill, p9_found, p9_reparameterised, p10_found, p10_scores)}
-ORACLES: dict[str, str] = {}
+
+_RELATED = lambda c: f"regexp_replace(upper(regexp_replace({c}, '^{S.WS}+|{S.WS}+$', '', 'g')), '[-_{S.WS[1:]}+', '_', 'g')"
+_ABSENT = ", ".join(f"'{x}'" for x in splits.ABSENT)
+ORACLES = {
+    "p2_found": f"""WITH RECURSIVE r AS (SELECT DISTINCT {_RELATED('source_text_id')} AS t, {_RELATED('source_sentence_id')} AS s FROM examples), v AS (SELECT * FROM r WHERE t NOT IN ({_ABSENT}) AND s NOT IN ({_ABSENT})),
+e AS (SELECT DISTINCT x.t AS a, y.t AS b FROM v x JOIN v y USING (s) WHERE x.t <> y.t), reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a) SELECT a AS text_a, b AS text_b FROM reach WHERE a < b""",
+}
