@@ -59,13 +59,17 @@ def language_of(n: Counter, given: str | None) -> str:
     return given if given in hits and hits[given] == best else max(hits, key=lambda k: hits[k]) if best else (given if given in hits else "en")
 
 
-_plain_words: dict[str, bool] = {}
+class _Plain(dict):
+    """Whether a word is plain, by word."""
 
+    def __missing__(self, word: str) -> bool:
+        self[word] = known = _PLAIN.match(word) is not None
+        return known
 
-def _is_plain(word: str) -> bool:
-    if (known := _plain_words.get(word)) is None:
-        _plain_words[word] = known = _PLAIN.match(word) is not None
-    return known
+
+_plain_words = _Plain()
+# What a word of a page is, as a byte: a function word, plain or not; plain and often on the page, or not so often.
+_FUNCTION, _PLAIN_FUNCTION, _SELDOM, _OFTEN = 1, 2, 3, 4
 
 
 def _link_share(chunk: str, flat: str) -> float:
@@ -113,13 +117,16 @@ def page_measures(text: str | None, given: str | None = None) -> tuple[str, dict
     often = {w for w, c in count.items() if c >= least and w not in fw}
     if len(_plain_words) > 500_000:
         _plain_words.clear()
-    plain = {w for w in count if _is_plain(w)}
+    known = _plain_words
+    kind = {w: (_PLAIN_FUNCTION if known[w] else _FUNCTION) if w in fw else (_OFTEN if w in often else _SELDOM) if known[w] else 0 for w in count}
+    kinds = bytes(map(kind.__getitem__, words))
     again = {p for p, c in pairs.items() if c >= few}
-    heavy = {p for p, c in pairs.items() if c >= max(3, HEAVY_PAIR * n)}
-    in_fw = [w in fw for w in words]
+    repeats = bytes(map(again.__contains__, zip(words, words[1:], strict=False)))
+    most = max(3, HEAVY_PAIR * n)
+    heavy = {p for p in again if pairs[p] >= most}
     page = {
         "words": n,
-        "function_words": sum(in_fw) / max(n, 1),
+        "function_words": (kinds.count(_FUNCTION) + kinds.count(_PLAIN_FUNCTION)) / max(n, 1),
         "top_word": max((count[w] for w in often), default=0) / max(n, 1),
         "top_pair": max(pairs.values(), default=0) / max(n, 1),
         "duplicate_lines": 1 - len(set(lines)) / len(lines) if lines else 0.0,
@@ -129,17 +136,16 @@ def page_measures(text: str | None, given: str | None = None) -> tuple[str, dict
     chunks = []
     for c, flat, a, b in spans:
         k = max(b - a, 1)
-        own = words[a:b]
-        plain_own = [w for w in own if w in plain]
-        functions = sum(in_fw[a:b])
+        own = kinds[a:b]
+        plain_functions, seldom, frequent = own.count(_PLAIN_FUNCTION), own.count(_SELDOM), own.count(_OFTEN)
+        functions = own.count(_FUNCTION) + plain_functions
         if heavy and functions and not _SENTENCE_END.search(_URL.sub(" ", flat) if links else flat):
-            functions -= sum(1 for i in range(max(a, 1), min(b, n - 1)) if in_fw[i] and (words[i - 1], words[i]) in heavy and (words[i], words[i + 1]) in heavy)
-        content = sum(1 for w in plain_own if w not in fw)
+            functions -= sum(1 for i in range(max(a, 1), min(b, n - 1)) if kinds[i] in (_FUNCTION, _PLAIN_FUNCTION) and (words[i - 1], words[i]) in heavy and (words[i], words[i + 1]) in heavy)
         tokens = flat.count(" ") + 1
         chunks.append((
             len(flat.strip()), _link_share(c, flat) if links or "\x02" in c else 0.0, len(_HASH.findall(flat)) / tokens if "#" in flat else 0.0, len(_CODE.findall(flat)) / tokens if codes else 0.0,
             sum(map(flat.count, SEPARATORS)) / k if functions < LACKING * k else 0.0,
-            functions / k, len(plain_own) / k, sum(1 for w in plain_own if w in often) / max(content, 1), sum(1 for p in zip(own, own[1:], strict=False) if p in again) / max(k - 1, 1), float(b - a),
+            functions / k, (plain_functions + seldom + frequent) / k, frequent / max(seldom + frequent, 1), repeats[a : max(b - 1, a)].count(1) / max(k - 1, 1), float(b - a),
         ))
     return lang, page, chunks
 
