@@ -17,7 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """The rows over all cores where a scan has fewer tasks than there are cores, as with one small file.
 
-    A scan of many files is left as it is, so large inputs aren't shuffled.
+    df is a scan, whose tasks are told without running it. A scan of many files is left as it is, so large inputs aren't
+    shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
