@@ -1,15 +1,19 @@
 """A count model of readings in context, Viterbi decoding, and a fallback for unattested sign groups.
 
-The model is four count tables; nothing of it is collected. To decode, the candidates of every position, their local
-terms and the terms of every step between neighbouring candidates are looked up by joins; the lattice of a sentence is
-then gathered into one row and folded.
+The model is four count tables. To decode, the readings attested in the context of every place are looked up by joins and
+gathered into one row a sentence. The candidates of the sign groups to decode and the counts of steps between readings go
+to every task as arrays, HELD entries at most; a step between two places is made there and shuffled nowhere. A model with
+more entries is looked up by joins alone, where the pairs of neighbouring candidates are rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +23,13 @@ from glyphmill.operators.signs import aligned, attestations
 from glyphmill.runtime import salted_lookup
 
 SMOOTHING, BOUNDARY = 0.1, "<s>"
+#: Candidates and counts of steps that a task may hold (12 bytes each), bits that tell unknown steps, and known ones kept.
+HELD, STEP_BITS, STEPS_KEPT = 8_000_000, 27, 4_000_000
+#: Counts of steps that the driver reads at once.
+STEPS_AT_ONCE = 1_000_000
+#: Attested sign groups that a task compares unseen ones with at a time.
+GROUP_BLOCK = 32_768
+WEIGHTS = {"transition": 1.0, "emission": 0.6, "left": 0.8, "right": 0.8}
 
 
 @dataclass(frozen=True)
@@ -27,6 +38,7 @@ class ReadingModel:
     bigram: DataFrame  # previous_reading, reading, n
     left: DataFrame  # previous_sign, sign, reading, n
     right: DataFrame  # sign, next_sign, reading, n
+    pairs: DataFrame  # what was counted
 
     def groups(self) -> DataFrame:
         """(sign, total, candidates): readings by count, ties by first place."""
@@ -46,7 +58,7 @@ def fit(corpus: DataFrame, **columns: str) -> ReadingModel:
     """Counts over the aligned sentences of a corpus; unaligned, empty and null ones teach nothing."""
     pairs = aligned(corpus, **columns)
     count = lambda *keys: pairs.groupBy(*keys).agg(F.count("*").alias("n"))
-    return ReadingModel(attestations(pairs), count("previous_reading", "reading"), count("previous_sign", "sign", "reading"), count("sign", "next_sign", "reading"))
+    return ReadingModel(attestations(pairs).persist(), count("previous_reading", "reading"), count("previous_sign", "sign", "reading"), count("sign", "next_sign", "reading"), pairs)
 
 
 def _smoothed(n: Column, total: Column, size: Column) -> Column:
@@ -61,45 +73,238 @@ def _context(table: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, D
     return known, unseen
 
 
-def nearest_groups(model: ReadingModel, unseen: DataFrame) -> DataFrame:
+def nearest_groups(model: ReadingModel, unseen: DataFrame, block: int = GROUP_BLOCK) -> DataFrame:
     """(sign, group, similarity): for sign groups never attested the attested one with the largest glyph overlap.
 
-    Ties go to the better attested group, then to the smaller one. Groups that share no glyph with any get no row. Only
-    groups that share a glyph meet; overlap counts come from a partial aggregate. The inputs are small but many groups
-    share a glyph, so the work is dealt to all cores by glyph and salt, which also splits a hot glyph.
+    Ties go to the better attested group, then to the smaller one. Groups that share no glyph with any get no row. Many
+    groups share a glyph, so no pair is put out: every block of unseen groups meets every block of attested ones in a task.
     """
-    parts, salts = unseen.sparkSession.sparkContext.defaultParallelism, 8
-    glyphs = lambda df, name: df.select(F.col("sign").alias(name), F.explode(F.array_distinct(F.filter(F.split("sign", ""), lambda x: x != ""))).alias("glyph"))
-    size = lambda c: F.size(F.array_distinct(F.filter(F.split(c, ""), lambda x: x != "")))
-    totals = model.emission.groupBy("sign").agg(F.sum("n").alias("total"))
-    left = glyphs(unseen.select("sign").distinct(), "sign").withColumn("_salt", F.pmod(F.xxhash64("sign"), F.lit(salts))).repartition(parts * 2, "glyph", "_salt")
-    right = glyphs(totals, "group").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).repartition(parts * 2, "glyph", "_salt")
-    shared = left.join(right, ["glyph", "_salt"]).groupBy("sign", "group").agg(F.count("*").alias("common"))
-    scored = shared.withColumn("similarity", F.col("common") / (size("sign") + size("group") - F.col("common"))).join(totals.withColumnRenamed("sign", "group"), "group")
-    best = scored.groupBy("sign").agg(F.min(F.struct((-F.col("similarity")).alias("s"), (-F.col("total")).alias("t"), "group")).alias("b"))
+    glyphs = F.array_distinct(F.filter(F.split("sign", ""), lambda x: x != ""))
+    right_rows = model.emission.groupBy("sign").agg(F.sum("n").alias("total")).select("sign", "total", glyphs.alias("g"))
+    right = max(1, -(-right_rows.count() // block))
+    left = max(1, -(-2 * unseen.sparkSession.sparkContext.defaultParallelism // right))
+    part = lambda n: F.pmod(F.xxhash64("sign"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = unseen.select("sign").distinct().select("sign", glyphs.alias("g")).withColumn("i", part(left)).withColumn("j", every(right))
+    b = right_rows.withColumn("j", part(right)).withColumn("i", every(left))
+    found = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInArrow(_block_nearest, "sign string, group string, similarity double, total long")
+    best = found.groupBy("sign").agg(F.min(F.struct((-F.col("similarity")).alias("s"), (-F.col("total")).alias("t"), "group")).alias("b"))
     return best.select("sign", F.col("b.group").alias("group"), (-F.col("b.s")).alias("similarity"))
 
 
-def decode(model: ReadingModel, sentences: DataFrame, key: str, signs: str, transition: float = 1.0, emission: float = 0.6, left: float = 0.8, right: float = 0.8, use_fallback: bool = True, threshold: float = 0.5) -> DataFrame:
+def _block_nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The best of the right groups for each of the left ones that shares a glyph with any; both have sign and glyphs g."""
+    made: list[tuple] = []
+    if left.num_rows and right.num_rows:
+        rows = sorted(zip(*(right.column(c).to_pylist() for c in ("sign", "total", "g")), strict=True), key=lambda x: (-x[1], x[0]))
+        postings: dict[str, list[int]] = {}
+        for k, (_, _, glyphs) in enumerate(rows):
+            for glyph in glyphs:
+                postings.setdefault(glyph, []).append(k)
+        listed, size = {g: np.array(at) for g, at in postings.items()}, np.array([len(g) for _, _, g in rows])
+        for sign, glyphs in zip(left.column("sign").to_pylist(), left.column("g").to_pylist(), strict=True):
+            if met := [listed[g] for g in glyphs if g in listed]:
+                common = np.bincount(np.concatenate(met), minlength=len(rows))
+                similarity = common / (len(glyphs) + size - common)
+                at = int(similarity.argmax())  # the first of equals
+                made.append((sign, rows[at][0], float(similarity[at]), rows[at][1]))
+    columns = [list(c) for c in zip(*made, strict=True)] or [[]] * 4
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.float64(), pa.int64()), strict=True)], names=["sign", "group", "similarity", "total"])
+
+
+def decode(model: ReadingModel, sentences: DataFrame, key: str, signs: str, transition: float = 1.0, emission: float = 0.6, left: float = 0.8, right: float = 0.8, use_fallback: bool = True, threshold: float = 0.5, held: int = HELD) -> DataFrame:
     """(key, pos, sign, predicted, candidates, attested_count, is_ambiguous, was_seen, fallback_from, fallback_similarity, confidence).
 
     The best path through the candidates of every position by the weighted sum of log terms. The next sign is the one
     written, the previous one the group it was resolved to; ties keep the first candidate. A group without candidates
-    reads "". Sentences without signs give no rows; keys must be unique.
+    reads "". Sentences without signs give no rows; keys must be unique. `held`: entries of the model that a task may hold.
     """
+    return decode_all(model, sentences, key, signs, {"predicted": {"transition": transition, "emission": emission, "left": left, "right": right}}, use_fallback, threshold, held)
+
+
+def decode_all(model: ReadingModel, sentences: DataFrame, key: str, signs: str, weights: dict[str, dict[str, float]], use_fallback: bool = True, threshold: float = 0.5, held: int = HELD) -> DataFrame:
+    """`decode` under several weights at once: a column of predictions for each of them, by name."""
     rows = sentences.select(F.col(key).alias("key"), X.blank_split(signs).alias("s")).where("size(s) > 0")
-    at = rows.select("key", F.posexplode("s").alias("pos", "sign"), F.col("s"))
-    at = at.select("key", "pos", "sign", F.coalesce(F.get("s", F.col("pos") + 1), F.lit(BOUNDARY)).alias("next_sign"))
-    groups = model.groups()
-    known = groups.select("sign", F.col("sign").alias("group"), F.lit("").alias("fallback_from"), F.lit(0.0).alias("similarity"))
-    wanted = at.select("sign").distinct()
-    resolved = wanted.join(known, "sign", "left")
+    per_sign = _per_sign(model, rows, use_fallback, threshold).persist()
+    steps = model.bigram.select(F.xxhash64("previous_reading").alias("p"), F.xxhash64("reading").alias("r"), "n").persist()
+    every = [WEIGHTS | w for w in weights.values()]
+    if (per_sign.agg(F.sum(F.size("candidates"))).first()[0] or 0) + steps.count() > held:
+        return _decode_by_joins(model, rows, key, per_sign, dict(zip(weights, every, strict=True)))
+    model_held = rows.sparkSession.sparkContext.broadcast(_Held(per_sign, steps))
+    steps.unpersist()
+    kind, names = sentences.schema[key].dataType.simpleString(), list(weights)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = model_held.value
+        for batch in batches:
+            made: list[tuple] = []
+            for k, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                before = BOUNDARY
+                for i, sign in enumerate(s):
+                    if group := known.groups[known.row[sign]]:
+                        made += [(k, 2 * i, before, group), (k, 2 * i + 1, group, s[i + 1] if i + 1 < len(s) else BOUNDARY)]
+                    before = group or sign
+            if made:
+                k, place, a, b = zip(*made, strict=True)
+                yield pa.record_batch([pa.array(k, batch.schema.field(0).type), pa.array(place, pa.int32()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["key", "place", "a", "b"])
+
+    # Both contexts of a place are looked up at once; a context is told by the hash of its side and its two signs.
+    asked = rows.mapInArrow(ask, f"key {kind}, place int, a string, b string").select("key", "place", F.xxhash64(F.col("place") % 2, "a", "b").alias("h"))
+    context = lambda side, a, b: F.xxhash64(F.lit(side), a, b)
+    counted = model.pairs.select(F.xxhash64("reading").alias("r"), F.explode(F.array(context(0, "previous_sign", "sign"), context(1, "sign", "next_sign"))).alias("h")).groupBy("h", "r").agg(F.count("*").cast("int").alias("n"))
+    contexts = counted.groupBy("h").agg(F.collect_list("r").alias("r"), F.collect_list("n").alias("n"))
+    found = asked.join(contexts, "h").groupBy("key").agg(F.collect_list(F.struct("place", "r", "n")).alias("x"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = model_held.value
+        for batch in batches:
+            keys, pos, at, words = [], [], [], [[] for _ in names]
+            for k, s, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = [known.row[sign] for sign in s]
+                for out, path in zip(words, known.paths(own, {e["place"]: (e["r"], e["n"]) for e in x or []}, every), strict=True):
+                    out += path
+                keys += [k] * len(s)
+                pos += range(len(s))
+                at += own
+            if keys:
+                shown = known.shown.take(pa.array(at, pa.int64())).combine_chunks()
+                columns = [pa.array(keys, batch.schema.field(0).type), pa.array(pos, pa.int32()), *[pa.array(w, pa.string()) for w in words], *[c.combine_chunks() for c in shown.columns]]
+                yield from pa.table(columns, names=["key", "pos", *names, *shown.column_names]).to_batches()
+
+    predicted = ", ".join(f"`{n}` string" for n in names)
+    out = rows.join(found, "key", "left").select("key", "s", "x").mapInArrow(read, f"key {kind}, pos int, {predicted}, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in _shown(per_sign).schema)}")
+    return out.select(F.col("key").alias(key), "pos", "sign", *names, "candidates", "attested_count", "is_ambiguous", "was_seen", "fallback_from", "fallback_similarity", "confidence")
+
+
+def _per_sign(model: ReadingModel, rows: DataFrame, use_fallback: bool, threshold: float) -> DataFrame:
+    """(sign, group, fallback_from, similarity, was_seen, total, candidates): a row for each sign group to decode."""
+    groups = model.groups().persist()
+    known = groups.select("sign", F.col("sign").alias("group"))
+    resolved = rows.select(F.explode("s").alias("sign")).distinct().join(known, "sign", "left").persist()
     if use_fallback:
         near = nearest_groups(model, resolved.where("group is null").select("sign")).where(F.col("similarity") >= threshold).select("sign", F.col("group").alias("near"), F.col("similarity").alias("near_similarity"))
         resolved = resolved.join(near, "sign", "left").select("sign", F.coalesce("group", "near", F.lit("")).alias("group"), F.when(F.col("group").isNull(), F.coalesce("near", F.lit(""))).otherwise("").alias("fallback_from"), F.when(F.col("group").isNull(), F.coalesce("near_similarity", F.lit(0.0))).otherwise(0.0).alias("similarity"), F.col("group").isNotNull().alias("was_seen"))
     else:
         resolved = resolved.select("sign", F.coalesce("group", F.lit("")).alias("group"), F.lit("").alias("fallback_from"), F.lit(0.0).alias("similarity"), F.col("group").isNotNull().alias("was_seen"))
-    per_sign = resolved.join(groups.withColumnRenamed("sign", "group"), "group", "left").select("sign", "group", "fallback_from", "similarity", "was_seen", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("candidates", F.array(F.struct(F.lit("").alias("reading"), F.lit(0).cast("long").alias("n")))).alias("candidates"))
+    return resolved.join(groups.withColumnRenamed("sign", "group"), "group", "left").select("sign", "group", "fallback_from", "similarity", "was_seen", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("candidates", F.array(F.struct(F.lit("").alias("reading"), F.lit(0).cast("long").alias("n")))).alias("candidates"))
+
+
+def _shown(per_sign: DataFrame) -> DataFrame:
+    """What is told of a sign group besides the prediction."""
+    shares = F.transform(F.slice(F.filter("candidates", lambda x: x["n"] > 0), 1, 5), lambda x: F.struct(x["reading"].alias("reading"), (x["n"] / F.greatest(F.col("total"), F.lit(1))).alias("share")))
+    return per_sign.select("sign", shares.alias("candidates"), F.col("total").alias("attested_count"), (F.size(F.filter("candidates", lambda x: x["n"] > 0)) > 1).alias("is_ambiguous"), "was_seen", "fallback_from", X.python_round(F.col("similarity"), 3).alias("fallback_similarity"), confidence(shares).alias("confidence"))
+
+
+class _Held:
+    """Candidates of the sign groups to decode and the counts of steps between their readings, as arrays."""
+
+    def __init__(self, per_sign: DataFrame, steps: DataFrame) -> None:
+        """steps: p and r, the hashes of two readings, and n."""
+        listed = per_sign.select("sign", "group", "total", F.col("candidates.reading").alias("reading"), F.transform("candidates", lambda x: F.xxhash64(x["reading"])).alias("h"), F.col("candidates.n").alias("n")).toArrow().combine_chunks()
+        self.shown = _shown(per_sign).toArrow().combine_chunks()
+        flat = lambda c: listed.column(c).combine_chunks().flatten()
+        signs, sizes = listed.column("sign").to_pylist(), np.diff([0, *np.cumsum([len(x) for x in listed.column("n").to_pylist()])])
+        self.row, self.groups = {s: k for k, s in enumerate(signs)}, listed.column("group").to_pylist()
+        place = {s: k for k, s in enumerate(self.shown.column("sign").to_pylist())}
+        self.shown = self.shown.take(pa.array([place[s] for s in signs], pa.int64()))
+        self.ends, total = np.append(0, np.cumsum(sizes)).astype(np.int64), np.repeat(np.asarray(listed.column("total")), sizes)
+        edge = np.array([per_sign.sparkSession.range(1).select(F.xxhash64(F.lit(BOUNDARY))).first()[0]])
+        hashes, n = np.asarray(flat("h")), np.asarray(flat("n"))
+        self.hashes, first = np.unique(np.append(hashes, edge), return_index=True)
+        strings = [*flat("reading").to_pylist(), BOUNDARY]
+        self.readings = [strings[k] for k in first]
+        self.codes, self.edge = np.searchsorted(self.hashes, hashes), np.searchsorted(self.hashes, edge)
+        self.emission = np.where(total > 0, np.log((n + SMOOTHING) / (total + SMOOTHING * np.maximum(np.repeat(sizes, sizes), 1))), 0.0)
+        code = lambda h: np.where(self.hashes[k := np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)] == h, k, -1)
+        t, v, keys, counts = np.zeros(len(self.hashes)), np.zeros(len(self.hashes), np.int64), [], []
+        parts = -(-steps.count() // STEPS_AT_ONCE)
+        for k in range(parts):
+            table = steps.where(F.pmod("p", F.lit(parts)) == k).toArrow()
+            p, r, n = (np.asarray(table.column(c)) for c in "prn")
+            p, r = code(p), code(r)
+            own, both = p >= 0, (p >= 0) & (r >= 0)
+            t += np.bincount(p[own], n[own], minlength=len(t))
+            v += np.bincount(p[own], minlength=len(v))
+            keys.append(p[both] * len(self.hashes) + r[both])
+            counts.append(n[both].astype(np.int32))
+        self.size = t + SMOOTHING * np.maximum(v, 1)
+        self.unseen = np.where(v > 0, np.log(SMOOTHING / self.size), np.log(SMOOTHING))
+        keys, counts = np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.int32), *counts])
+        order = np.argsort(keys)
+        self.keys, self.counts = keys[order], counts[order]
+        bit = np.sort(self._bit(self.keys))
+        self.bits = np.zeros(1 << (STEP_BITS - 3), np.uint8)
+        np.bitwise_or.at(self.bits, bit >> 3, np.left_shift(1, bit & 7).astype(np.uint8))
+        self.kept: dict = {}
+        self.room = STEPS_KEPT
+
+    @staticmethod
+    def _bit(keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - STEP_BITS)).astype(np.int64)
+
+    def _known(self, before: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in a matrix of codes x before, log terms) of the steps that were counted."""
+        keys = (before[None, :] * len(self.hashes) + codes[:, None]).ravel()
+        bit = self._bit(keys)
+        maybe = np.flatnonzero((self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
+        at = np.minimum(np.searchsorted(self.keys, keys[maybe]), max(len(self.keys) - 1, 0))
+        hit = self.keys[at] == keys[maybe] if len(self.keys) else np.zeros(0, bool)
+        where, at = maybe[hit], at[hit]
+        return where, np.log((self.counts[at] + SMOOTHING) / self.size[before[where % len(before)]])
+
+    def _steps(self, before: int, row: int, b_codes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        entry = self.kept.get((before, row))
+        if entry is None:
+            entry = self._known(b_codes, codes)
+            if self.room < 0:
+                self.kept, self.room = {}, STEPS_KEPT
+            self.kept[before, row] = entry
+            self.room -= len(entry[0]) + 16
+        out = np.empty((len(codes), len(b_codes)))
+        out[:] = self.unseen[b_codes]
+        out.ravel()[entry[0]] = entry[1]
+        return out
+
+    def _local(self, found: tuple | None, codes: np.ndarray) -> np.ndarray:
+        """Log terms of the candidates in a context."""
+        if found is None:
+            return np.full(len(codes), np.log(SMOOTHING))
+        n = np.array(found[1], float)
+        size = n.sum() + SMOOTHING * len(n)
+        out = np.full(len(codes), np.log(SMOOTHING / size))
+        for code, term in zip(np.searchsorted(self.hashes, found[0]), np.log((n + SMOOTHING) / size), strict=True):
+            out[codes == code] = term
+        return out
+
+    def paths(self, rows: list[int], found: dict, weights: list[dict[str, float]]) -> list[list[str]]:
+        """The readings of the best path through the candidates of the rows, for each of the weights."""
+        scores, back = [np.zeros(1) for _ in weights], [[] for _ in weights]
+        before, b_codes = -1, self.edge
+        for i, row in enumerate(rows):
+            span = slice(self.ends[row], self.ends[row + 1])
+            codes, left, right = self.codes[span], self._local(found.get(2 * i), self.codes[span]), self._local(found.get(2 * i + 1), self.codes[span])
+            steps, every = self._steps(before, row, b_codes, codes), np.arange(len(codes))
+            for k, w in enumerate(weights):
+                local = w["emission"] * self.emission[span] + w["right"] * right + w["left"] * left
+                s = scores[k][None, :] + local[:, None] + w["transition"] * steps
+                best = s.argmax(1)
+                scores[k] = s[every, best]
+                back[k].append(best)
+            before, b_codes = row, codes
+        out = []
+        for score, came in zip(scores, back, strict=True):
+            at, words = int(score.argmax()), []
+            for row, best in zip(reversed(rows), reversed(came), strict=True):
+                words.append(self.readings[self.codes[self.ends[row] + at]])
+                at = int(best[at])
+            out.append(words[::-1])
+        return out
+
+
+def _decode_by_joins(model: ReadingModel, rows: DataFrame, key: str, per_sign: DataFrame, weights: dict[str, dict[str, float]]) -> DataFrame:
+    """`decode_all` without a part of the model in the tasks; rows: key and the signs s."""
+    at = rows.select("key", F.posexplode("s").alias("pos", "sign"), F.col("s"))
+    at = at.select("key", "pos", "sign", F.coalesce(F.get("s", F.col("pos") + 1), F.lit(BOUNDARY)).alias("next_sign"))
     places = salted_lookup(at, per_sign, ["sign"], "key").persist()
     before = places.select("key", (F.col("pos") + 1).alias("pos"), F.when(F.col("group") != "", F.col("group")).otherwise(F.col("sign")).alias("previous_sign"), F.col("candidates").alias("previous"))
     steps = places.join(before, ["key", "pos"], "left").withColumns({"previous_sign": F.coalesce("previous_sign", F.lit(BOUNDARY)), "previous": F.coalesce("previous", F.array(F.struct(F.lit(BOUNDARY).alias("reading"), F.lit(0).cast("long").alias("n"))))})
@@ -113,17 +318,18 @@ def decode(model: ReadingModel, sentences: DataFrame, key: str, signs: str, tran
     local = local.join(as_group(r_known), ["group", "next_sign", "reading"], "left").join(as_group(r_unseen), ["group", "next_sign"], "left")
     floor = F.lit(SMOOTHING)
     e = F.when(F.col("total") > 0, _smoothed(F.col("n"), F.col("total"), F.col("v"))).otherwise(0.0)
-    score = emission * e + right * F.coalesce("r", "r_unseen", F.log(floor)) + left * F.coalesce("l", "l_unseen", F.log(floor))
-    local = local.withColumn("local", score)
-    moves = local.select("key", "pos", "c", "reading", "local", F.posexplode("previous").alias("p", "before")).withColumn("previous_reading", F.col("before.reading"))
-    moves = moves.join(b_known, ["previous_reading", "reading"], "left").join(b_unseen, ["previous_reading"], "left").withColumn("b", transition * F.coalesce("b", "b_unseen", F.log(floor)))
-    column = moves.groupBy("key", "pos", "c").agg(F.first("local").alias("local"), F.transform(F.array_sort(F.collect_list(F.struct("p", "b"))), lambda x: x["b"]).alias("moves"))
-    lattice = column.groupBy("key", "pos").agg(F.array_sort(F.collect_list(F.struct("c", "local", "moves"))).alias("column")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "column"))).alias("lattice"))
-    chosen = lattice.select("key", F.posexplode(_best_path(F.to_json("lattice"))).alias("pos", "choice"))
-    shares = F.transform(F.slice(F.filter("candidates", lambda x: x["n"] > 0), 1, 5), lambda x: F.struct(x["reading"].alias("reading"), (x["n"] / F.greatest(F.col("total"), F.lit(1))).alias("share")))
-    out = places.join(chosen, ["key", "pos"])
-    predicted = F.get("candidates", F.col("choice"))["reading"]
-    return out.select(F.col("key").alias(key), "pos", "sign", predicted.alias("predicted"), shares.alias("candidates"), F.col("total").alias("attested_count"), (F.size(F.filter("candidates", lambda x: x["n"] > 0)) > 1).alias("is_ambiguous"), "was_seen", "fallback_from", X.python_round(F.col("similarity"), 3).alias("fallback_similarity"), confidence(shares).alias("confidence"))
+    terms, out = local, places.select("key", "pos", "sign", "candidates")
+    for name, w in weights.items():
+        score = w["emission"] * e + w["right"] * F.coalesce("r", "r_unseen", F.log(floor)) + w["left"] * F.coalesce("l", "l_unseen", F.log(floor))
+        local = terms.withColumn("local", score)
+        moves = local.select("key", "pos", "c", "reading", "local", F.posexplode("previous").alias("p", "before")).withColumn("previous_reading", F.col("before.reading"))
+        moves = moves.join(b_known, ["previous_reading", "reading"], "left").join(b_unseen, ["previous_reading"], "left").withColumn("b", w["transition"] * F.coalesce("b", "b_unseen", F.log(floor)))
+        column = moves.groupBy("key", "pos", "c").agg(F.first("local").alias("local"), F.transform(F.array_sort(F.collect_list(F.struct("p", "b"))), lambda x: x["b"]).alias("moves"))
+        lattice = column.groupBy("key", "pos").agg(F.array_sort(F.collect_list(F.struct("c", "local", "moves"))).alias("column")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "column"))).alias("lattice"))
+        chosen = lattice.select("key", F.posexplode(_best_path(F.to_json("lattice"))).alias("pos", "choice"))
+        out = out.join(chosen, ["key", "pos"]).withColumn(name, F.get("candidates", F.col("choice"))["reading"]).drop("choice")
+    out = salted_lookup(out.select(F.col("key").alias(key), "pos", "sign", *weights), _shown(per_sign), ["sign"], key)
+    return out.select(key, "pos", "sign", *weights, "candidates", "attested_count", "is_ambiguous", "was_seen", "fallback_from", "fallback_similarity", "confidence")
 
 
 def confidence(shares: Column) -> Column:
@@ -167,12 +373,12 @@ def decode_summary(predictions: DataFrame, key: str) -> DataFrame:
     return predictions.groupBy(key).agg(F.array_join(F.filter(words, lambda x: x != ""), " ").alias("reading"), F.count_if("is_ambiguous").alias("ambiguous"), F.count_if(F.col("fallback_from") != "").alias("fallbacks"), F.count_if(F.col("predicted") == "").alias("unreadable"))
 
 
-def evaluate(corpus: DataFrame, key: str = "id", every: int = 5, exclude_duplicates: bool = False, **weights: float) -> DataFrame:
+def evaluate(corpus: DataFrame, key: str = "id", every: int = 5, exclude_duplicates: bool = False, **options: float) -> DataFrame:
     """One row of accuracy figures: every fifth aligned sentence is held out, by the hash of its key.
 
     A deterministic hash split stands in for the position in the file, which Spark doesn't keep.
     """
-    sentences = corpus.select(F.col(key).alias("key"), X.squeeze("hieroglyphs_norm").alias("s"), X.squeeze("transliteration_gold").alias("t")).where(F.size(X.blank_split("s")) == F.size(X.blank_split("t"))).where("s <> ''")
+    sentences = corpus.select(F.col(key).alias("key"), X.squeeze("hieroglyphs_norm").alias("s"), X.squeeze("transliteration_gold").alias("t")).where(F.size(X.blank_split("s")) == F.size(X.blank_split("t"))).where("s <> ''").persist()
     held_out = F.pmod(F.xxhash64("key"), F.lit(every)) == 0
     train, test = sentences.where(~held_out), sentences.where(held_out)
     known = train.select("s").distinct()
@@ -182,10 +388,10 @@ def evaluate(corpus: DataFrame, key: str = "id", every: int = 5, exclude_duplica
     names = {"signs": "s", "readings": "t", "order": "key"}
     model = fit(train, **names)
     gold = test.select("key", F.posexplode(X.blank_split("t")).alias("pos", "gold"))
-    full = decode(model, test, "key", "s", **weights)
-    one_sided = decode(model, test, "key", "s", **(weights | {"right": 0.0})).select("key", "pos", F.col("predicted").alias("left_only"))
+    own = {k: v for k, v in options.items() if k in WEIGHTS}
+    both = decode_all(model, test, "key", "s", {"predicted": own, "left_only": own | {"right": 0.0}}, **{k: v for k, v in options.items() if k not in WEIGHTS})
     base = model.most_frequent().select("sign", F.col("reading").alias("base"))
-    rows = full.join(gold, ["key", "pos"]).join(one_sided, ["key", "pos"]).join(base, "sign", "left")
+    rows = both.join(gold, ["key", "pos"]).join(base, "sign", "left")
     seen, amb, fallback = F.col("was_seen"), F.col("was_seen") & F.col("is_ambiguous"), ~F.col("was_seen") & (F.col("fallback_from") != "")
     right = lambda c: F.coalesce(F.col(c), F.lit("")) == F.col("gold")
     rate = lambda hit, of: F.coalesce(F.count_if(hit & of) / F.nullif(F.count_if(of), F.lit(0)), F.lit(0.0))

@@ -90,6 +90,42 @@ def test_decode_equals_all_paths(spark):
         assert score([got[i][k] for k in sorted(got[i])]) == pytest.approx(best, abs=1e-9)
 
 
+def random_model(spark, n=40):
+    rng = random.Random(5)
+    rows = [(" ".join(s), " ".join(rng.choice("xyz") for _ in s)) for s in (rng.choices(["A", "B", "C", "D", "AB", "CE"], k=rng.randrange(1, 6)) for _ in range(n))]
+    return M.fit(frame(spark, rows)), frame(spark, [(q, "") for q in ["A B C D", "D AB A", "ABE B", "Q A V", "CE ABD"]])
+
+
+@pytest.mark.parametrize("options", [{}, {"transition": 0.3, "right": 0.0}, {"use_fallback": False}])
+def test_decode_by_arrays_equals_joins(spark, options):
+    """A model that a task can't hold is decoded by joins; both ways tell the same."""
+    model, queries = random_model(spark)
+    by = [sorted(map(str, M.decode(model, queries, "id", "hieroglyphs_norm", held=held, **options).collect())) for held in (10_000, 0)]
+    assert by[0] == by[1] and len(by[0]) == 14
+
+
+def test_decode_shuffles_no_pairs_of_candidates(spark):
+    """Pairs of neighbouring candidates and of groups that share a glyph filled the disk when they were shuffled."""
+    model, queries = random_model(spark)
+    names = "id", "hieroglyphs_norm"
+    plan = M.decode(model, queries, *names)._jdf.queryExecution().toString()
+    assert "lattice" not in plan and "moves" not in plan
+    assert "common" not in M.nearest_groups(model, queries.selectExpr("explode(split(hieroglyphs_norm, ' ')) AS sign"))._jdf.queryExecution().toString()
+
+
+def test_nearest_groups_in_blocks(spark):
+    model, _ = random_model(spark)
+    unseen = spark.createDataFrame([("".join(CODE[c] for c in s),) for s in ["ABE", "CED", "PQ", "DA"]], "sign string")
+    total = {r.sign: r.total for r in model.groups().collect()}
+    want = {}
+    for (s,) in unseen.collect():
+        near = [(-len({*s} & {*g}) / len({*s} | {*g}), -n, g) for g, n in total.items() if {*s} & {*g}]
+        if near:
+            want[s] = (min(near)[2], -min(near)[0])
+    for block in (2, 1000):
+        assert {r.sign: (r.group, r.similarity) for r in M.nearest_groups(model, unseen, block).collect()} == want
+
+
 def test_sign_index(spark):
     rows = [("A", "sw"), ("A", "nswt"), ("B", "n.t"), ("B", "n(.ꞽ).t"), ("C", "z")]
     index = G.sign_index(G.attestations(G.aligned(frame(spark, rows))))
