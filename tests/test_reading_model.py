@@ -113,6 +113,15 @@ def test_decode_shuffles_no_pairs_of_candidates(spark):
     assert "common" not in M.nearest_groups(model, queries.selectExpr("explode(split(hieroglyphs_norm, ' ')) AS sign"))._jdf.queryExecution().toString()
 
 
+def test_decode_all_equals_decode(spark):
+    """An evaluation decodes once for both of its weights."""
+    model, queries = random_model(spark)
+    names = "id", "hieroglyphs_norm"
+    both = M.decode_all(model, queries, *names, {"predicted": {}, "left_only": {"right": 0.0}}).collect()
+    for column, options in (("predicted", {}), ("left_only", {"right": 0.0})):
+        assert {(r.id, r.pos): r[column] for r in both} == {(r.id, r.pos): r.predicted for r in M.decode(model, queries, *names, **options).collect()}
+
+
 def test_nearest_groups_in_blocks(spark):
     model, _ = random_model(spark)
     unseen = spark.createDataFrame([("".join(CODE[c] for c in s),) for s in ["ABE", "CED", "PQ", "DA"]], "sign string")
