@@ -147,3 +147,11 @@ def test_evaluate(spark):
     rows = [("A B", "x y")] * 6 + [("A C", "z c")] * 6 + [("B", "y")] * 8
     r = M.evaluate(frame(spark, rows)).first()
     assert r.corpus_sentences == 20 and r.train_sentences + r.held_out_sentences == 20 and 0 <= r.acc_all_context <= 1
+
+
+def test_summaries_shuffle_no_pairs_of_candidates(spark):
+    """A summary and an evaluation decode as `decode` does; pairs in the shuffle filled the disk at 1 GB."""
+    model, queries = random_model(spark)
+    for out in (M.decode_summary(M.decode(model, queries, "id", "hieroglyphs_norm"), "id"), M.evaluate(frame(spark, [("A B", "x y")] * 6 + [("A", "z")] * 6))):
+        plan = out._jdf.queryExecution().toString()
+        assert "lattice" not in plan and "moves" not in plan
