@@ -408,9 +408,13 @@ def evaluate(corpus: DataFrame, key: str = "id", every: int = 5, exclude_duplica
 
 
 def size_sweep(corpus: DataFrame, sizes: list[int | None], key: str = "id", **options: object) -> DataFrame:
-    """`evaluate` on the first `n` sentences by key for each size, None for all; each size is a query of its own."""
-    out = None
+    """`evaluate` on the first `n` sentences by key for each size, None for all; each size is a query of its own.
+
+    Each is run before the next one is planned, so the driver holds one model and one plan at a time.
+    """
+    rows, schema = [], None
     for n in sizes:
         part = evaluate(corpus if n is None else corpus.orderBy(key).limit(n), key, **options)
-        out = part if out is None else out.unionByName(part)
-    return out
+        rows += part.collect()  # a row a size
+        schema = part.schema
+    return corpus.sparkSession.createDataFrame(rows, schema)

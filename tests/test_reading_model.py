@@ -149,6 +149,14 @@ def test_evaluate(spark):
     assert r.corpus_sentences == 20 and r.train_sentences + r.held_out_sentences == 20 and 0 <= r.acc_all_context <= 1
 
 
+def test_size_sweep_runs_one_size_after_another(spark):
+    """All sizes in one plan filled the driver's memory."""
+    rows = frame(spark, [("A B", "x y")] * 6 + [("A C", "z c")] * 6 + [("B", "y")] * 8)
+    out = M.size_sweep(rows, [8, None])
+    assert "MapInArrow" not in out._jdf.queryExecution().toString()
+    assert out.collect() == [M.evaluate(rows.orderBy("id").limit(8)).first(), M.evaluate(rows).first()]
+
+
 def test_summaries_shuffle_no_pairs_of_candidates(spark):
     """A summary and an evaluation decode as `decode` does; pairs in the shuffle filled the disk at 1 GB."""
     model, queries = random_model(spark)
