@@ -163,3 +163,10 @@ def test_summaries_shuffle_no_pairs_of_candidates(spark):
     for out in (M.decode_summary(M.decode(model, queries, "id", "hieroglyphs_norm"), "id"), M.evaluate(frame(spark, [("A B", "x y")] * 6 + [("A", "z")] * 6))):
         plan = out._jdf.queryExecution().toString()
         assert "lattice" not in plan and "moves" not in plan
+
+
+def test_review_sheet_shuffles_no_pairs_of_candidates(spark):
+    from glyphmill.plans.queries import QUERIES
+
+    plan = QUERIES["expert_review_sheet"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "lattice" not in plan and "moves" not in plan
