@@ -1,9 +1,9 @@
 """A count model of readings in context, Viterbi decoding, and a fallback for unattested sign groups.
 
 The model is four count tables. To decode, the readings attested in the context of every place are looked up by joins and
-gathered into one row a sentence. The candidates of the sign groups to decode and the counts of steps between readings go
-to every task as arrays, HELD entries at most; a step between two places is made there and shuffled nowhere. A model with
-more entries is looked up by joins alone, where the pairs of neighbouring candidates are rows.
+gathered into one row a sentence. The candidates of the sign groups to decode and the counts of steps between them go to
+every task as arrays, HELD candidates and twice as many steps at most; a step between two places is made there and shuffled
+nowhere. A larger model is looked up by joins alone, where the pairs of neighbouring candidates are rows.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from glyphmill.operators.signs import aligned, attestations
 from glyphmill.runtime import salted_lookup
 
 SMOOTHING, BOUNDARY = 0.1, "<s>"
-#: Candidates and counts of steps that a task may hold (12 bytes each), bits that tell unknown steps, and known ones kept.
+#: Candidates that a task may hold (of steps, 12 bytes each, twice as many), bits that tell unknown steps, and known ones kept.
 HELD, STEP_BITS, STEPS_KEPT = 8_000_000, 27, 4_000_000
 #: Counts of steps that the driver reads at once.
 STEPS_AT_ONCE = 1_000_000
@@ -117,7 +117,7 @@ def decode(model: ReadingModel, sentences: DataFrame, key: str, signs: str, tran
 
     The best path through the candidates of every position by the weighted sum of log terms. The next sign is the one
     written, the previous one the group it was resolved to; ties keep the first candidate. A group without candidates
-    reads "". Sentences without signs give no rows; keys must be unique. `held`: entries of the model that a task may hold.
+    reads "". Sentences without signs give no rows; keys must be unique. `held`: candidates that a task may hold.
     """
     return decode_all(model, sentences, key, signs, {"predicted": {"transition": transition, "emission": emission, "left": left, "right": right}}, use_fallback, threshold, held)
 
@@ -128,10 +128,12 @@ def decode_all(model: ReadingModel, sentences: DataFrame, key: str, signs: str,
     per_sign = _per_sign(model, rows, use_fallback, threshold).persist()
     steps = model.bigram.select(F.xxhash64("previous_reading").alias("p"), F.xxhash64("reading").alias("r"), "n").persist()
     every = [WEIGHTS | w for w in weights.values()]
-    if (per_sign.agg(F.sum(F.size("candidates"))).first()[0] or 0) + steps.count() > held:
-        return _decode_by_joins(model, rows, key, per_sign, dict(zip(weights, every, strict=True)))
-    model_held = rows.sparkSession.sparkContext.broadcast(_Held(per_sign, steps))
+    kept = _Held(per_sign) if (per_sign.agg(F.sum(F.size("candidates"))).first()[0] or 0) <= held else None
+    fits = kept is not None and kept.learn(steps, 2 * held)
     steps.unpersist()
+    if not fits:
+        return _decode_by_joins(model, rows, key, per_sign, dict(zip(weights, every, strict=True)))
+    model_held = rows.sparkSession.sparkContext.broadcast(kept)
     kind, names = sentences.schema[key].dataType.simpleString(), list(weights)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,11 +197,16 @@ def _shown(per_sign: DataFrame) -> DataFrame:
     return per_sign.select("sign", shares.alias("candidates"), F.col("total").alias("attested_count"), (F.size(F.filter("candidates", lambda x: x["n"] > 0)) > 1).alias("is_ambiguous"), "was_seen", "fallback_from", X.python_round(F.col("similarity"), 3).alias("fallback_similarity"), confidence(shares).alias("confidence"))
 
 
+def _places(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where the wanted values stand in ascending hashes; -1 where they don't."""
+    at = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
+    return np.where(hashes[at] == wanted, at, -1)
+
+
 class _Held:
     """Candidates of the sign groups to decode and the counts of steps between their readings, as arrays."""
 
-    def __init__(self, per_sign: DataFrame, steps: DataFrame) -> None:
-        """steps: p and r, the hashes of two readings, and n."""
+    def __init__(self, per_sign: DataFrame) -> None:
         listed = per_sign.select("sign", "group", "total", F.col("candidates.reading").alias("reading"), F.transform("candidates", lambda x: F.xxhash64(x["reading"])).alias("h"), F.col("candidates.n").alias("n")).toArrow().combine_chunks()
         self.shown = _shown(per_sign).toArrow().combine_chunks()
         flat = lambda c: listed.column(c).combine_chunks().flatten()
@@ -215,28 +222,48 @@ class _Held:
         self.readings = [strings[k] for k in first]
         self.codes, self.edge = np.searchsorted(self.hashes, hashes), np.searchsorted(self.hashes, edge)
         self.emission = np.where(total > 0, np.log((n + SMOOTHING) / (total + SMOOTHING * np.maximum(np.repeat(sizes, sizes), 1))), 0.0)
-        code = lambda h: np.where(self.hashes[k := np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)] == h, k, -1)
-        t, v, keys, counts = np.zeros(len(self.hashes)), np.zeros(len(self.hashes), np.int64), [], []
-        parts = -(-steps.count() // STEPS_AT_ONCE)
-        for k in range(parts):
-            table = steps.where(F.pmod("p", F.lit(parts)) == k).toArrow()
-            p, r, n = (np.asarray(table.column(c)) for c in "prn")
-            p, r = code(p), code(r)
-            own, both = p >= 0, (p >= 0) & (r >= 0)
-            t += np.bincount(p[own], n[own], minlength=len(t))
-            v += np.bincount(p[own], minlength=len(v))
-            keys.append(p[both] * len(self.hashes) + r[both])
-            counts.append(n[both].astype(np.int32))
+        self.kept: dict = {}
+        self.room = STEPS_KEPT
+
+    def learn(self, steps: DataFrame, most: int) -> bool:
+        """Takes the counts of steps between the candidates; False where they are more than `most`.
+
+        steps: p and r, the hashes of two readings, and n. Only steps between two candidates are kept. They come in the
+        order of their keys, a part at a time, so the driver holds the arrays and one part.
+        """
+        hashes = self.hashes
+        shared = steps.sparkSession.sparkContext.broadcast(hashes)
+
+        def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                p, r = (_places(shared.value, np.asarray(batch.column(k))) for k in range(2))
+                both = (p >= 0) & (r >= 0)
+                yield pa.record_batch([pa.array(p[both]), pa.array(r[both]), pa.array(np.asarray(batch.column(2))[both].astype(np.int32))], names=["p", "r", "n"])
+
+        coded = steps.select("p", "r", "n").mapInArrow(between, "p long, r long, n int").persist()
+        count = coded.count()
+        if count > most:
+            coded.unpersist()
+            return False
+        sums = steps.groupBy("p").agg(F.sum("n").alias("t"), F.count("*").alias("v")).toArrow()  # a row a reading
+        at = _places(hashes, np.asarray(sums.column("p")))
+        own, t, v = at >= 0, np.zeros(len(hashes)), np.zeros(len(hashes), np.int64)
+        t[at[own]], v[at[own]] = (np.asarray(sums.column(c))[own] for c in "tv")
         self.size = t + SMOOTHING * np.maximum(v, 1)
         self.unseen = np.where(v > 0, np.log(SMOOTHING / self.size), np.log(SMOOTHING))
-        keys, counts = np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.int32), *counts])
-        order = np.argsort(keys)
-        self.keys, self.counts = keys[order], counts[order]
-        bit = np.sort(self._bit(self.keys))
+        self.keys, self.counts = np.empty(count, np.int64), np.empty(count, np.int32)
         self.bits = np.zeros(1 << (STEP_BITS - 3), np.uint8)
-        np.bitwise_or.at(self.bits, bit >> 3, np.left_shift(1, bit & 7).astype(np.uint8))
-        self.kept: dict = {}
-        self.room = STEPS_KEPT
+        parts, end = max(1, -(-count // STEPS_AT_ONCE)), 0
+        edges = [len(hashes) * k // parts for k in range(parts + 1)]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            table = coded.where((F.col("p") >= lo) & (F.col("p") < hi)).select((F.col("p") * len(hashes) + F.col("r")).alias("k"), "n").toArrow()
+            keys = np.asarray(table.column("k"))
+            order, span = np.argsort(keys), slice(end, end := end + len(keys))
+            self.keys[span], self.counts[span] = keys[order], np.asarray(table.column("n"))[order]
+            bit = np.sort(self._bit(keys))
+            np.bitwise_or.at(self.bits, bit >> 3, np.left_shift(1, bit & 7).astype(np.uint8))
+        coded.unpersist()
+        return True
 
     @staticmethod
     def _bit(keys: np.ndarray) -> np.ndarray:

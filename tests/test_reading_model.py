@@ -113,6 +113,17 @@ def test_decode_shuffles_no_pairs_of_candidates(spark):
     assert "common" not in M.nearest_groups(model, queries.selectExpr("explode(split(hieroglyphs_norm, ' ')) AS sign"))._jdf.queryExecution().toString()
 
 
+def test_steps_count_apart_from_candidates(spark, monkeypatch):
+    """Candidates and steps counted together sent a 1 GB model to the joins, which filled the disk; parts keep all steps."""
+    model, queries = random_model(spark)
+    names = "id", "hieroglyphs_norm"
+    held = 26  # candidates of the signs to decode; there are 12 counts of steps besides
+    want = sorted(map(str, M.decode(model, queries, *names).collect()))
+    monkeypatch.setattr(M, "STEPS_AT_ONCE", 3)
+    out = M.decode(model, queries, *names, held=held)
+    assert "lattice" not in out._jdf.queryExecution().toString() and sorted(map(str, out.collect())) == want
+
+
 def test_decode_all_equals_decode(spark):
     """An evaluation decodes once for both of its weights."""
     model, queries = random_model(spark)
